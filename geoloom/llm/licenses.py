@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,13 +19,13 @@ BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all",
 
 #: (label, pattern of the license's name, keyword that any match contains). Order is priority: the more specific first.
 NAMES = [
-    ("cc-by-nc-nd", r"(?:cc|creative commons)[ -]by[ -]nc[ -]nd|attribution[ -]non-?commercial[ -]no-?derivatives|attribution[ -]non-?commercial[ -]noderivs", "nc"),
-    ("cc-by-nc-sa", r"(?:cc|creative commons)[ -]by[ -]nc[ -]sa|attribution[ -]non-?commercial[ -]share-?alike", "nc"),
-    ("cc-by-nc", r"(?:cc|creative commons)[ -]by[ -]nc|attribution[ -]non-?commercial", "nc"),
-    ("cc-by-nd", r"(?:cc|creative commons)[ -]by[ -]nd|attribution[ -]no-?deriv(?:ative)?s", "by"),
-    ("cc-by-sa", r"(?:cc|creative commons)[ -]by[ -]sa|attribution[ -]share-?alike", "by"),
-    ("cc-by", r"(?:cc|creative commons)[ -]by|creative commons attribution", "c"),
-    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "c"),
+    ("cc-by-nc-nd", r"(?:cc|creative commons)[ -]by[ -]nc[ -]nd|attribution[ -]non-?commercial[ -]no-?derivatives|attribution[ -]non-?commercial[ -]noderivs", "cc|creative|attribution"),
+    ("cc-by-nc-sa", r"(?:cc|creative commons)[ -]by[ -]nc[ -]sa|attribution[ -]non-?commercial[ -]share-?alike", "cc|creative|attribution"),
+    ("cc-by-nc", r"(?:cc|creative commons)[ -]by[ -]nc|attribution[ -]non-?commercial", "cc|creative|attribution"),
+    ("cc-by-nd", r"(?:cc|creative commons)[ -]by[ -]nd|attribution[ -]no-?deriv(?:ative)?s", "cc|creative|attribution"),
+    ("cc-by-sa", r"(?:cc|creative commons)[ -]by[ -]sa|attribution[ -]share-?alike", "cc|creative|attribution"),
+    ("cc-by", r"(?:cc|creative commons)[ -]by|creative commons attribution", "cc|creative"),
+    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc|zero|dedication"),
     ("agpl", r"(?:gnu )?affero general public licen[sc]e|agpl", "gpl|affero"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", "gpl|general public"),
     ("gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl", "documentation|gfdl"),
@@ -55,15 +56,15 @@ NAMES = [
     ("busl", r"business source licen[sc]e|busl", "business|busl"),
     ("proprietary", r"proprietary|confidential", "proprietary|confidential"),
 ]
-#: Sentences in which a name stands; the earlier, the stronger.
+#: (strength, sentence in which a name stands, keywords of which any match holds one); the earlier, the stronger.
 TEMPLATES = [
-    (1.00, r"(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)*)?"),
-    (0.95, r"(?:subject to|under the terms of|governed by|in accordance with) (?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?"),
-    (0.90, r"(?:{n})\b[ ,-]*(?:license|licence)?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)+)"),
-    (0.85, r"spdx-license-identifier:? *(?:{n})\b[a-z0-9.+-]*"),
-    (0.80, r"(?:license|licence) *[:=] *[\"']?(?:{n})\b"),
-    (0.75, r"\b(?:{n})[ ,-]+(?:license|licence|licensed|terms)\b"),
-    (0.70, r"\b(?:the )?(?:{n})\b(?= ?(?:\(|,|;|:)? ?(?:as published|or any later|or later|v[0-9]))"),
+    (1.00, r"(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)*)?", "under"),
+    (0.95, r"(?:subject to|under the terms of|governed by|in accordance with) (?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?", "subject|under|governed|accordance"),
+    (0.90, r"(?:{n})\b[ ,-]*(?:license|licence)?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)+)", "0|1|2|3|4|5|6|7|8|9"),
+    (0.85, r"spdx-license-identifier:? *(?:{n})\b[a-z0-9.+-]*", "spdx"),
+    (0.80, r"(?:license|licence) *[:=] *[\"']?(?:{n})\b", "license|licence"),
+    (0.75, r"\b(?:{n})[ ,-]+(?:license|licence|licensed|terms)\b", "license|licence|terms"),
+    (0.70, r"\b(?:the )?(?:{n})\b(?= ?(?:\(|,|;|:)? ?(?:as published|or any later|or later|v[0-9]))", "published|later|v"),
 ]
 #: Rules of their own: (label, strength, pattern, keyword).
 EXTRA = [
@@ -74,45 +75,54 @@ EXTRA = [
     ("public-domain", 0.60, r"\b(?:in|into|to) the public domain\b", "public domain"),
     ("warranty", 0.40, r"\b(?:without warranty of any kind|provided \"?as is\"?)", "warranty|as is"),
 ]
-#: Words of which every rule's match holds one: a text with none of them has no label of the method's own.
-GATE = ("licen", "reserved", "copyright", "(c)", "©", "hereby granted", "redistribution", "public domain", "warranty", "as is", "cc", "gpl", "creative commons", " under ", "subject to", "terms of", "governed by", "accordance with", "spdx", "apache", "mozilla", "eclipse", "bsd")
 
 
 @lru_cache(1)
-def rules() -> list[tuple[int, str, float, re.Pattern, tuple[str, ...]]]:
-    """(priority, label, strength, pattern, keywords), most important first: every name in every sentence, then the others."""
-    out = [(label, strength, pattern.format(n=name), key) for strength, pattern in TEMPLATES for label, name, key in NAMES] + EXTRA
-    return [(k, label, strength, re.compile(pattern), tuple(key.split("|"))) for k, (label, strength, pattern, key) in enumerate(out)]
+def rules() -> list[tuple[str, float, re.Pattern, tuple[str, ...], tuple[str, ...]]]:
+    """(label, strength, pattern, keywords of the sentence, of the name), most important first: every name in every sentence, then the others."""
+    out = [(label, strength, pattern.format(n=name), frame, key) for strength, pattern, frame in TEMPLATES for label, name, key in NAMES] + [(*x, "") for x in EXTRA]
+    return [(label, strength, re.compile(pattern), tuple(filter(None, frame.split("|"))), tuple(filter(None, key.split("|")))) for label, strength, pattern, frame, key in out]
 
 
 def detect(lowered: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, strength) of the detections that stand, by place.
 
-    A detection whose interval lies within that of one with a higher priority
-    (an earlier rule), or strictly within a longer one of any rule, is dropped.
+    Of two equal intervals the rule with the higher priority (the earlier one)
+    stands, an interval within a longer one falls, and of intervals that cross,
+    those of higher priority stand.
     """
-    if not any(g in lowered for g in GATE):
-        return []
-    found = []
     known: dict[str, bool] = {}
-    for k, label, strength, pattern, keys in rules():
+
+    def holds(keys: tuple[str, ...]) -> bool:
         for key in keys:
             if key not in known:
                 known[key] = key in lowered
-        if any(known[key] for key in keys):
-            found += [(m.start(), m.end(), k, label, strength) for m in pattern.finditer(lowered) if m.end() > m.start()]
+            if known[key]:
+                return True
+        return not keys
+
+    found = []
+    for k, (label, strength, pattern, frame, keys) in enumerate(rules()):
+        if holds(frame) and holds(keys):
+            found += [(m.start(), -m.end(), k, label, strength) for m in pattern.finditer(lowered) if m.end() > m.start()]
     if not found:
         return []
-    # by start, then the longest, then priority: a container comes before what it holds
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
-    kept: list[tuple[int, int, int, str, float]] = []
-    reach = -1
+    found.sort()  # a container comes before what it holds, and of equal ones the more important
+    outer, reach = [], -1
     for x in found:
-        if x[1] <= reach:
+        if -x[1] > reach:
+            outer.append(x)
+            reach = -x[1]
+    # what is left starts and ends in ascending order, so only neighbours can cross
+    kept: list[tuple[int, int, int, str, float]] = []
+    starts: list[int] = []
+    for x in sorted(outer, key=lambda x: x[2]):
+        i = bisect_left(starts, x[0])
+        if (i and -kept[i - 1][1] > x[0]) or (i < len(kept) and starts[i] < -x[1]):
             continue
-        kept.append(x)
-        reach = x[1]
-    return [(s, e, label, strength) for s, e, _, label, strength in kept]
+        kept.insert(i, x)
+        starts.insert(i, x[0])
+    return [(start, -end, label, strength) for start, end, _, label, strength in kept]
 
 
 _KEY = {b"reserved": ("all", "rights", "reserved"), b"license": ("general", "public", "license"), b"cc": ("cc", "by")}
