@@ -29,3 +29,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op9_minhash_neardup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
