@@ -36,3 +36,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
