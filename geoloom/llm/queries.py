@@ -43,3 +43,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.tokencount import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+def held_out(mod: int, rest: int):
+    """Whether crc32 of the id as text leaves ``rest``; a null id counts as the empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == rest
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm import toxicity as tox
+
+    docs = table(spark, sf_dir, "documents")
+    model = tox.learn(docs, table(spark, sf_dir, "labels").where(~held_out(3, 1)))
+    return tox.toxicity(docs, model).withColumn("held_out", held_out(3, 1))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~held_out(4, 2)))
+    return language.identify(docs, model).withColumn("held_out", held_out(4, 2))
