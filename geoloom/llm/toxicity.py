@@ -23,8 +23,8 @@ from geoloom.llm.common import pick
 
 #: At most so many labelled rows of each kind are learned from (those of the smallest hash of their id).
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
-#: Terms: in how many toxic documents at least, log odds at least, and how many are kept.
-MIN_ROWS, MIN_ODDS, MAX_TERMS = 3, 3.0, 2000
+#: Terms: in how many toxic documents at least (a number, and a share), log odds at least, and how many are kept.
+MIN_ROWS, MIN_SHARE, MIN_ODDS, MAX_TERMS = 3, 0.01, 2.0, 2000
 #: Lengths of stems, and how many different words must share one.
 STEM, STEM_WORDS = (4, 8), 4
 #: Tokens on either side that make a hit's context.
@@ -46,22 +46,24 @@ class FuzzyLexicon:
 
     A state is the set of (trie node, edits so far) that the characters read
     can have reached; states and transitions are kept.  ``find`` gives the best
-    hit of a token: 0 an exact word, 1 a word within its edits, 2 a stem; or None.
+    hit of a token as (kind, odds): kind 0 an exact word, 1 a word within its
+    edits, 2 a stem; or None.
     """
 
-    def __init__(self, words: list[str], stems: list[str], limit: int = 500_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 500_000):
         self.child: list[dict[str, int]] = [{}]
         self.most = [0]  # edits that some word below allows
         self.ends: list[int] = [-1]  # edits allowed where a word ends
-        self.stem = [False]
-        for term in words:
+        self.odds = [0.0]  # of the word that ends here
+        self.stem = [0.0]  # odds of the stem that ends here
+        for term, odds in words.items():
             k = edits(term)
             node = self._walk(term, k)
-            self.ends[node] = k
-        for term in stems:
-            self.stem[self._walk(term, 0)] = True
+            self.ends[node], self.odds[node] = k, odds
+        for term, odds in stems.items():
+            self.stem[self._walk(term, 0)] = odds
         self.limit = limit
-        self.memo: dict[str, int | None] = {}
+        self.memo: dict[str, tuple[int, float] | None] = {}
         self._reset()
 
     def _walk(self, term: str, k: int) -> int:
@@ -73,7 +75,8 @@ class FuzzyLexicon:
                 self.child.append({})
                 self.most.append(0)
                 self.ends.append(-1)
-                self.stem.append(False)
+                self.odds.append(0.0)
+                self.stem.append(0.0)
             node = self.child[node][c]
             self.most[node] = max(self.most[node], k)
         return node
@@ -82,10 +85,10 @@ class FuzzyLexicon:
         self.ids: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.go: list[dict[str, int]] = []
-        self.ending: list[int] = []
-        self.start = self._state({0: 0}, False)
+        self.ending: list[tuple[int, float] | None] = []
+        self.start = self._state({0: 0}, 0.0)
 
-    def _state(self, nodes: dict[int, int], stem: bool) -> int:
+    def _state(self, nodes: dict[int, int], stem: float) -> int:
         """Id of a set of {node: edits}, closed under skipping a term's character."""
         stack = list(nodes.items())
         while stack:
@@ -96,14 +99,14 @@ class FuzzyLexicon:
                 if e + 1 <= self.most[c] and e + 1 < nodes.get(c, 9):
                     nodes[c] = e + 1
                     stack.append((c, e + 1))
-        stem = stem or any(e == 0 and self.stem[n] for n, e in nodes.items())
+        stem = max([stem, *(self.stem[n] for n, e in nodes.items() if e == 0)])
         key = (tuple(sorted(nodes.items())), stem)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.go.append({})
-            best = min((e for n, e in nodes.items() if e <= self.ends[n]), default=9)
-            self.ending.append(0 if best == 0 else 1 if best < 9 else 2 if stem else -1)
+            best = min(((e, -self.odds[n]) for n, e in nodes.items() if e <= self.ends[n]), default=None)
+            self.ending.append((min(best[0], 1), -best[1]) if best else (2, stem) if stem else None)
         return self.ids[key]
 
     def _step(self, s: int, c: str) -> int:
@@ -121,7 +124,7 @@ class FuzzyLexicon:
         self.go[s][c] = t = self._state(new, stem)
         return t
 
-    def find(self, token: str) -> int | None:
+    def find(self, token: str) -> tuple[int, float] | None:
         if token in self.memo:
             return self.memo[token]
         if len(self.memo) > self.limit:
@@ -132,21 +135,21 @@ class FuzzyLexicon:
         for c in token:
             t = self.go[s].get(c)
             s = self._step(s, c) if t is None else t
-            if not self.sets[s][0]:
+            if not self.sets[s][0]:  # no word can follow; a stem that was met stays
                 break
-        found = self.ending[s]
-        self.memo[token] = out = None if found < 0 else found
-        return out
+        self.memo[token] = found = self.ending[s]
+        return found
 
 
 @dataclass
 class Model:
-    words: list[str] = field(default_factory=list)
-    stems: list[str] = field(default_factory=list)
+    #: Terms and their log odds.
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [-3.0] + [0.0] * (N_FEATURES - 1))
 
 
-N_FEATURES = 6
+N_FEATURES = 7
 
 
 def _quoted(text: str) -> list[tuple[int, int]]:
@@ -169,7 +172,7 @@ def _quoted(text: str) -> list[tuple[int, int]]:
 
 
 def features(text: str, lexicon: FuzzyLexicon) -> list[float]:
-    """Constant, sums of exact / near / stem hits (damped), densest window, share of hits in quotation."""
+    """Constant, sums of exact / near / stem hits (damped), densest window, share of tokens hit, share of hits in quotation."""
     low = text.lower()
     found = {t: kind for t in set(TOKEN.findall(low)) if (kind := lexicon.find(t)) is not None}
     if not found:
@@ -186,12 +189,13 @@ def features(text: str, lexicon: FuzzyLexicon) -> list[float]:
         q = int(np.searchsorted(starts, at)) - 1 if spans else -1
         inside = q >= 0 and at < spans[q][1]
         told = inside and any(t in REPORT for _, t in tokens[max(0, i - WINDOW) : i + WINDOW])
-        sums[found[token]] += 0.2 if told else 0.5 if inside else 1.0
+        kind, odds = found[token]
+        sums[kind] += odds * (0.2 if told else 0.5 if inside else 1.0)
         quoted += inside
         while hits[lo] < i - WINDOW:
             lo += 1
         densest = max(densest, n - lo + 1)
-    return [1.0, *(float(np.log1p(x)) for x in sums), float(np.log1p(densest)), quoted / len(hits)]
+    return [1.0, *(float(np.log1p(x)) for x in sums), float(np.log1p(densest)), min(1.0, 30 * len(hits) / (len(tokens) + 30)), quoted / len(hits)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -243,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = terms.where("not stem")
     shared = words.select(F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.greatest(F.lit(STEM[0]), F.length("term") - 1))), lambda k: F.substring("term", 1, k))).alias("term")).groupBy("term").agg(F.count("*").alias("shared"))
     stems = terms.where("stem").join(shared, "term").where(F.col("shared") >= STEM_WORDS).select("term", "stem", "n")
-    likely = words.union(stems).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(20 * MAX_TERMS).collect()
+    likely = words.union(stems).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * n_toxic)).orderBy(F.desc("n"), "term").limit(20 * MAX_TERMS).collect()
     candidates = {(r.term, r.stem): r.n for r in likely}
 
     def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +256,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pylist([{"term": t, "stem": s, "n": n} for t, s, n in count], schema=batch.schema)
 
     clean = {(r.term, r.stem): r.n for r in texts.where("y = 0").select("text").mapInArrow(among, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n")).collect()}
-    odds = {k: np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in candidates.items()}
+    odds = {k: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(k, 0) + 1) / (n_clean + 1)) - n**-0.5) for k, n in candidates.items()}
     good = sorted((k for k in odds if odds[k] >= MIN_ODDS), key=lambda k: (-candidates[k] * odds[k], k))[:MAX_TERMS]
-    chosen_stems: list[str] = []
-    for s in sorted((t for t, stem in good if stem), key=lambda t: (len(t), t)):
-        if not any(s.startswith(x) for x in chosen_stems):
-            chosen_stems.append(s)
-    chosen_words = sorted(t for t, stem in good if not stem and not any(t.startswith(x) for x in chosen_stems))
-    model = Model(chosen_words, sorted(chosen_stems))
+    model = Model({t: odds[t, False] for t, stem in good if not stem}, {t: odds[t, True] for t, stem in good if stem})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = FuzzyLexicon(model.words, model.stems)
