@@ -186,7 +186,7 @@ class Merger:
     ``limit`` of them the machine starts afresh.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         codes = byte_codes()
@@ -277,7 +277,7 @@ def merger(path: str) -> Merger:
 class Counter:
     """Counts of whole texts; remembers pieces by their hash."""
 
-    def __init__(self, path: str, limit: int = 3_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         self.merger, self.limit = merger(path), limit
         self.known, self.counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
 
