@@ -68,3 +68,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(4, 2)))
     return language.identify(docs, model).withColumn("held_out", held_out(4, 2))
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_maxent_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.maxent import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out(7, 2)).withColumn("held_out", held_out(7, 2))
