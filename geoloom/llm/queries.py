@@ -82,3 +82,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.maxent import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), ~held_out(7, 2)).withColumn("held_out", held_out(7, 2))
+
+
+@query("op8_sentencepiece_nbest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.pieces import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"))
