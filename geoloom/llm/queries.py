@@ -89,3 +89,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.pieces import encode_texts
 
     return encode_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
