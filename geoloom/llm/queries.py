@@ -96,3 +96,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.pii import replace_pii
 
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
+@query(
+    "op4_hamming_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, CAST(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS BIT) AS code
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    ), p AS (
+        SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, n.code)) AS INTEGER) AS distance
+        FROM v q JOIN v n ON q.vec_id <> n.vec_id WHERE q.vec_id % 20 = 0
+    ), r AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance FROM p
+    )
+    SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.hamming import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
