@@ -27,6 +27,8 @@ MARK = "\u2581"
 OWN_MARK = "\0" + MARK
 #: Cuts before each mark that follows another character: no piece holds one there.
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Scores of pieces that the model never makes lie below.
+UNUSED = -1e8
 #: Words, and segments of them, whose best paths a worker remembers.
 MEMORY = 500_000
 
@@ -64,7 +66,7 @@ class Lattice:
                 self.piece[p] = (model.get_score(i), (i,))
                 self.text.append(p.replace(MARK, " ").encode())
         self.begins = {p[:i] for p in self.piece for i in range(1, len(p))}
-        self.lowest = min(s for s, _ in self.piece.values()) - 10
+        self.lowest = min(s for s, _ in self.piece.values() if s > UNUSED) - 10
         self.spans = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.memo: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.segments: dict[str, tuple[float, tuple[int, ...], float]] = {}

@@ -289,3 +289,19 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``cut``; null and empty texts stay. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = FuzzyLexicon(model.words, model.stems)
+        w = np.array(model.weights)
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                x = np.array([features(t or "", lexicon) for t in texts]) @ w
+                p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+                yield batch.filter(pa.array((p < cut) | np.array([not t for t in texts])))
+
+    return docs.mapInArrow(run, docs.schema)
