@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import pick
+from geoloom.llm.common import pick, save
 
 #: At most so many labelled rows are learned from (those of the smallest hash of their id).
 ROWS = 12_000
@@ -74,7 +74,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     of = {r.lang: r["count"] for r in seen}
     total = sum(of.values())
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, size int, term string, n long").groupBy("size", "term", "lang").agg(F.sum("n").alias("n"))
-    terms = counted.groupBy("size", "term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= LEAST)
+    terms = save(counted.groupBy("size", "term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= LEAST))
     model = Model(langs, [float(np.log(of[x] / total)) for x in langs], {})
     place = {x: i for i, x in enumerate(langs)}
     for size in (0, *LENGTHS):
