@@ -105,11 +105,15 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 
 
+#: Names that Spark has functions for itself: SQL cannot drop what was put over them.
+BUILT_IN = {"ST_GeomFromWKB", "ST_AsBinary", "ST_SRID", "ST_SetSRID"}
+
+
 def unregister(spark: SparkSession) -> None:
-    """Drops what ``register`` made."""
+    """Drops what ``register`` made, but for the names in ``BUILT_IN``, which stay as they are until the session ends."""
     from geoloom.viz.functions import FUNCTIONS as PICTURES
 
-    for name in [*FUNCTIONS, *PICTURES, *aggregates(), *generators(), *(x[0] for x in SQL_FUNCTIONS)]:
+    for name in sorted({*FUNCTIONS, *PICTURES, *aggregates(), *generators(), *(x[0] for x in SQL_FUNCTIONS)} - BUILT_IN):
         spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
 
 

@@ -28,12 +28,15 @@ def kind_of(df: DataFrame, name: str) -> str:
     raise TypeError(f"{name} is no geometry column: {t.simpleString()}")
 
 
-@F.pandas_udf(BOX)
-def wkb_box(g: pd.Series) -> pd.DataFrame:
+def _boxes(g: pd.Series) -> pd.DataFrame:
     boxes = [None if x is None else bbox(from_wkb(bytes(x))) for x in g]
     return pd.DataFrame([b or (None,) * 4 for b in boxes], columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 
 
+def wkb_box(g: Column) -> Column:
+    return F.pandas_udf(_boxes, BOX)(g)
+
+
 def box(df: DataFrame, name: str) -> Column:
     """Bounding box of a geometry column; native for points and rectangles."""
     kind = kind_of(df, name)

@@ -11,6 +11,7 @@ the common box.  Hot cells are skewed join keys, which adaptive execution splits
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from geoloom.kernel.geometry import Geom
 from geoloom.operators.geometry import box, distance, exact, kind_of, literal
 from geoloom.plans.durable import stored
 
+#: How a side's boxes are made from its frame.
+Boxed = Callable[[DataFrame], Column]
 #: Points aimed at in a cell of the finest level.
 PER_CELL = 64
 #: A side of up to so many grid rows (about 100 bytes each, plus its columns) is sent to all executors.
@@ -95,17 +98,17 @@ def _unpacked(pairs: DataFrame, left: DataFrame, right: DataFrame, *more: Column
     return pairs.select(*cols, *more)
 
 
-def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Column, Column], condition: Column, how: str, extra: list[Column] | None = None) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column, how: str, extra: list[Column] | None = None) -> DataFrame:
     if how != "inner":
         left = stored(left.withColumn("_id", F.monotonically_increasing_id()))
-        inner = _join(left, right, lg, rg, (box(left, lg) if boxes[0] is None else boxes[0], boxes[1]), condition, "inner", extra)
+        inner = _join(left, right, lg, rg, boxes, condition, "inner", extra)
         if how in ("left_semi", "left_anti"):
             return left.join(inner.select("_id").distinct(), "_id", how).drop("_id")
         if how == "left":
             own = [c for c in inner.columns if c not in left.columns]
             return left.join(inner.select("_id", *own), "_id", "left").drop("_id")
         raise ValueError(f"no spatial join of type {how}")
-    a, b = _packed(left, lg, boxes[0]), _packed(right, rg, boxes[1])
+    a, b = _packed(left, lg, boxes[0](left)), _packed(right, rg, boxes[1](right))
     size, _, n, m = _grid(a, b)
     points = "point" in (kind_of(left, lg), kind_of(right, rg)) and extra is None
     pairs = _pairs(a, b, size, (n, m), points)
@@ -124,7 +127,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: s
     if compat:
         predicate = {"touches": "intersects", "overlaps": "contains", "equals": "contains", "crosses": "contains"}.get(predicate, predicate)
     condition = exact(predicate, F.col("l._geom"), F.col("r._geom"), kinds)
-    return _join(left, right, left_geom, right_geom, (box(left, left_geom), box(right, right_geom)), condition, how)
+    return _join(left, right, left_geom, right_geom, (lambda df: box(df, left_geom), lambda df: box(df, right_geom)), condition, how)
 
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Column, left_geom: str = "geom", right_geom: str = "geom", strict: bool = False, how: str = "inner") -> DataFrame:
@@ -135,8 +138,8 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
     d = distance(F.col("l._geom"), F.col("r._geom"), kinds)
     limit = F.col("l._row._radius")
     condition = d < limit if strict else d <= limit
-    grown = N.grow(box(left, left_geom), F.col("_radius"))
-    out = _join(left, right, left_geom, right_geom, (grown, box(right, right_geom)), condition, how, [] if how == "inner" else None)
+    boxes = (lambda df: N.grow(box(df, left_geom), F.col("_radius")), lambda df: box(df, right_geom))
+    out = _join(left, right, left_geom, right_geom, boxes, condition, how, [])
     return out.drop("_radius")
 
 

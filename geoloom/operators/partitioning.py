@@ -107,17 +107,18 @@ def equal_grid(partitions: int, bounds: Rect) -> Cells:
 
 
 def hilbert(cx: Column, cy: Column, bits: int = 16) -> Column:
-    """Place on the Hilbert curve of a 2^bits grid."""
-    d, x, y = F.lit(0).cast("long"), cx.cast("long"), cy.cast("long")
-    for k in reversed(range(bits)):
-        s = 1 << k
-        rx = F.when(x.bitwiseAND(F.lit(s)) > 0, 1).otherwise(0).cast("long")
-        ry = F.when(y.bitwiseAND(F.lit(s)) > 0, 1).otherwise(0).cast("long")
-        d = d + F.lit(s * s).cast("long") * ((3 * rx).bitwiseXOR(ry))
-        x, y = x.bitwiseAND(F.lit(s - 1)), y.bitwiseAND(F.lit(s - 1))
-        fx, fy = F.when(rx == 1, s - 1 - x).otherwise(x), F.when(rx == 1, s - 1 - y).otherwise(y)
-        x, y = F.when(ry == 0, fy).otherwise(x), F.when(ry == 0, fx).otherwise(y)
-    return d
+    """Place on the Hilbert curve of a 2^bits grid: a fold over the bits, the highest first."""
+    start = F.struct(F.lit(0).cast("long").alias("d"), cx.cast("long").alias("x"), cy.cast("long").alias("y"))
+
+    def step(s: Column, k: Column) -> Column:
+        side = F.pow(F.lit(2.0), k).cast("long")
+        rx, ry = F.when(s["x"] >= side, 1).otherwise(0), F.when(s["y"] >= side, 1).otherwise(0)
+        x, y = s["x"] - rx * side, s["y"] - ry * side
+        d = s["d"] + side * side * ((3 * rx).bitwiseXOR(ry)).cast("long")
+        fx, fy = F.when(rx == 1, side - 1 - x).otherwise(x), F.when(rx == 1, side - 1 - y).otherwise(y)
+        return F.struct(d.alias("d"), F.when(ry == 0, fy).otherwise(x).alias("x"), F.when(ry == 0, fx).otherwise(y).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda s: s["d"])
 
 
 def build(df: DataFrame, geom: str, kind: str, partitions: int, seed: int = 7) -> Cells:
