@@ -14,12 +14,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice, product
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.bytewords import chunks, span_hashes
 from geoloom.llm.common import pick
 
 MARK = "\u2581"
@@ -29,8 +31,8 @@ OWN_MARK = "\0" + MARK
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Scores of pieces that the model never makes lie below.
 UNUSED = -1e8
-#: Words, and segments of them, whose best paths a worker remembers.
-MEMORY = 500_000
+#: Segments of words whose best paths a worker remembers (twice as many at most).
+MEMORY = 120_000
 
 
 def default_path() -> str:
@@ -49,6 +51,7 @@ class Lattice:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,30 +68,34 @@ class Lattice:
             else:
                 self.piece[p] = (model.get_score(i), (i,))
                 self.text.append(p.replace(MARK, " ").encode())
-        self.begins = {p[:i] for p in self.piece for i in range(1, len(p))}
-        self.lowest = min(s for s, _ in self.piece.values() if s > UNUSED) - 10
         self.spans = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
-        self.memo: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        # the same by arrays: a class for each character of longer pieces (0: none), and which pairs some piece spans
+        letters = sorted({c for pair in self.spans for c in pair})
+        self.n_classes = len(letters) + 1
+        self.classes = np.zeros(0x110000, dtype=np.uint16)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, self.n_classes)
+        self.classes[32] = self.classes[ord(MARK)]
+        self.neighbours = np.zeros(self.n_classes**2, dtype=bool)
+        self.neighbours[[int(self.classes[ord(p[0])]) * self.n_classes + int(self.classes[ord(p[1])]) for p in self.spans]] = True
+        self.single = {p for p in self.piece if len(p) == 1}
+        self.automaton = ahocorasick.Automaton()
+        for p, (score, ids) in self.piece.items():
+            self.automaton.add_word(p, (len(p), score, ids))
+        self.automaton.make_automaton()
+        self.lowest = min(s for s, _ in self.piece.values() if s > UNUSED) - 10
         self.segments: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        # what was remembered before, for another round: frequent words stay, rare ones go
+        self.before: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
     def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """(start, score, ids) of the pieces that end at each position."""
+        """(start, score, ids) of the pieces that end at each position, found by an Aho-Corasick automaton."""
         into: list[list] = [[] for _ in range(len(s) + 1)]
-        get, begins, stop = self.piece.get, self.begins, len(s) + 1
-        for start, c in enumerate(s):
-            found = get(c)
-            if found is not None:
-                into[start + 1].append((start, found[0], found[1]))
-            else:
-                into[start + 1].append((start, self.lowest, tuple(self.byte[b] for b in c.encode())))
-            if c in begins:
-                for end in range(start + 2, stop):
-                    sub = s[start:end]
-                    found = get(sub)
-                    if found is not None:
-                        into[end].append((start, found[0], found[1]))
-                    if sub not in begins:
-                        break
+        for last, (n, score, ids) in self.automaton.iter(s):
+            end = last + 1
+            into[end].append((end - n, score, ids))
+        for i, c in enumerate(s):
+            if c not in self.single:
+                into[i + 1].append((i, self.lowest, tuple(self.byte[b] for b in c.encode())))
         return into
 
     def paths(self, s: str) -> Iterator[tuple[float, tuple[int, ...]]]:
@@ -118,31 +125,57 @@ class Lattice:
         if len(s) == 1:
             p = self.piece.get(s)
             return (*p, np.inf) if p else (self.lowest, tuple(self.byte[b] for b in s.encode()), np.inf)
-        ways = self.paths(s)
-        score, ids = next(ways)
-        second = next(ways, None)
-        return score, ids, score - second[0] if second else np.inf
+        n, into = len(s), self.edges(s)
+        best, via = [0.0] * (n + 1), [None] * (n + 1)
+        for end in range(1, n + 1):
+            top = None
+            for e in into[end]:
+                v = best[e[0]] + e[1]
+                if top is None or v > top:
+                    top, pick = v, e
+            best[end], via[end] = top, pick
+        ids: tuple[int, ...] = ()
+        on, at = {}, n
+        while at:
+            on[at] = e = via[at]
+            ids, at = e[2] + ids, e[0]
+        # the second best path has a piece that the best has not: the best path through each such piece
+        rest: list = [None] * (n + 1)
+        rest[n], second = 0.0, -np.inf
+        for end in range(n, 0, -1):
+            behind, used = rest[end], on.get(end)
+            if behind is None:
+                continue
+            for e in into[end]:
+                v = behind + e[1]
+                if rest[e[0]] is None or v > rest[e[0]]:
+                    rest[e[0]] = v
+                if e is not used and best[e[0]] + v > second:
+                    second = best[e[0]] + v
+        return best[n], ids, best[n] - second
+
+    def remembered(self, s: str) -> tuple[float, tuple[int, ...], float]:
+        """A segment's paths, from memory if they are there."""
+        found = self.segments.get(s)
+        if found is None:
+            found = self.before.get(s) or self.segment(s)
+            if len(self.segments) > MEMORY:
+                self.before, self.segments = self.segments, {}
+            self.segments[s] = found
+        return found
 
     def word(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """The same of a word; put together from segments that no piece crosses, and remembered."""
+        """The same of a word; put together from segments that no piece crosses, which are remembered."""
         if word == OWN_MARK:
-            found = (self.lowest, tuple(self.byte[b] for b in MARK.encode()), np.inf)
-        else:
-            spans, known = self.spans, self.segments
-            if len(known) > MEMORY:
-                known.clear()
-            score, ids, gap, start = 0.0, (), np.inf, 0
-            for i in range(1, len(word) + 1):
-                if i == len(word) or word[i - 1 : i + 1] not in spans:
-                    s = word[start:i]
-                    part = known.get(s)
-                    if part is None:
-                        part = known[s] = self.segment(s)
-                    score, ids, gap, start = score + part[0], ids + part[1], min(gap, part[2]), i
-            found = (score, ids, gap)
-        if len(self.memo) > MEMORY:
-            self.memo.clear()
-        self.memo[word] = found
+            return self.lowest, tuple(self.byte[b] for b in MARK.encode()), np.inf
+        spans = self.spans
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in spans]
+        found, start = None, 0
+        for i in (*cuts, len(word)):
+            s = word[start:i]
+            part = self.remembered(s)
+            found = part if found is None else (found[0] + part[0], found[1] + part[1], min(found[2], part[2]))
+            start = i
         return found
 
     def words(self, text: str) -> list[str]:
@@ -157,8 +190,11 @@ class Lattice:
     def best(self, text: str | None) -> tuple[list[str], list[tuple[float, tuple[int, ...], float]]]:
         """The words of a text and what is known of each; none for an empty text."""
         parts = self.words(text) if text else []
-        get = self.memo.get
-        return parts, [get(s) or self.word(s) for s in parts]
+        known: dict[str, tuple] = {}
+        for s in parts:
+            if s not in known:
+                known[s] = self.word(s)
+        return parts, [known[s] for s in parts]
 
     def alternatives(self, parts: list[str], found: list[tuple[float, tuple[int, ...], float]], n: int) -> list[tuple[int, list[tuple[float, tuple[int, ...]]]]]:
         """(place, up to n paths with their losses) of the words in which the n best paths can differ from the best.
@@ -170,7 +206,13 @@ class Lattice:
             return []
         gaps = np.array([f[2] for f in found])
         few = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) < 4 * n else np.argpartition(gaps, n - 1)[: n - 1]
-        return [(k, [(found[k][0] - w[0], w[1]) for w in islice(self.paths(parts[k]), n)]) for k in few.tolist() if gaps[k] < np.inf]
+        out = []
+        for k in few.tolist():
+            if gaps[k] < np.inf:
+                score, ids, _ = found[k]
+                others = ((score - w[0], w[1]) for w in self.paths(parts[k]) if w[1] != ids)
+                out.append((k, [(0.0, ids), *islice(others, n - 1)]))
+        return out
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a whole text with their scores, best first; none for an empty text."""
@@ -193,17 +235,71 @@ class Lattice:
         if not parts:
             return [], []
         score = float(sum([f[0] for f in found]))
-        ids: list[int] = []
-        for f in found:
-            ids += f[1]
-        losses = [0.0]
-        for _, ways in self.alternatives(parts, found, n):
-            losses = sorted(a + b for a in losses for b, _ in ways)[:n]
-        return ids, [score - x for x in losses]
+        return [i for f in found for i in f[1]], [score - x for x in self.losses([w for _, w in self.alternatives(parts, found, n)], n)]
+
+    @staticmethod
+    def losses(ways: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[float]:
+        """The n smallest sums of one loss from each list."""
+        out = [0.0]
+        for own in ways:
+            out = sorted(a + b for a in out for b, _ in own)[:n]
+        return out
+
+    def batch(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
+        """(ids of the best paths of all texts, their first places, scores of the n best of each).
+
+        Texts are cut into segments by a table of the neighbours that pieces
+        span; each distinct segment is looked at once, the rest is array work.
+        """
+        size = np.diff(offsets)
+        some = np.flatnonzero(size)
+        data = np.insert(data, offsets[:-1][some], 32)  # the mark before each text
+        firsts = offsets[:-1][some] + np.arange(len(some))
+        char_at = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        classes = self.classes[points].astype(np.int64)
+        start = np.ones(len(points), dtype=bool)
+        start[1:] = ~self.neighbours[classes[:-1] * self.n_classes + classes[1:]]
+        start[np.searchsorted(char_at, firsts)] = True
+        starts = char_at[start]
+        ends = np.append(starts[1:], len(data))
+        _, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b].decode().replace(" ", MARK) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = [self.remembered(w) for w in words]
+        score, gap = np.array([f[0] for f in found]), np.array([f[2] for f in found])
+        many = np.array([len(f[1]) for f in found], dtype=np.int64)
+        flat = np.array([i for f in found for i in f[1]], dtype=np.int32)
+        place = np.cumsum(many) - many
+        count = many[inverse]
+        total = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat(place[inverse] - total[:-1], count) + np.arange(total[-1])]
+        word_at = np.append(np.searchsorted(starts, firsts), len(starts))
+        cuts = np.zeros(len(size) + 1, dtype=np.int64)
+        cuts[some + 1] = np.diff(total[word_at])
+        tops: list[list[float]] = [[] for _ in size]
+        ways: dict[int, list] = {}
+        for k, d in enumerate(some.tolist()):
+            own = inverse[word_at[k] : word_at[k + 1]]
+            best = float(score[own].sum())
+            if n > 1:
+                near = np.argpartition(gap[own], n - 1)[: n - 1] if len(own) > n else np.arange(len(own))
+                few = [w for w in own[near].tolist() if gap[w] < np.inf]
+                for w in few:
+                    if w not in ways:
+                        ways[w] = self.alternatives([words[w]], [found[w]], n)[0][1]
+                tops[d] = [best - x for x in self.losses([ways[w] for w in few], n)]
+            else:
+                tops[d] = [best]
+        return ids, np.cumsum(cuts), tops
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path; undoes ``encode`` exactly."""
-        return b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """Its UTF-8 bytes; without the mark put before the text."""
+        return b"".join([self.text[i] for i in ids])[1:]
 
 
 @lru_cache(2)
@@ -226,20 +322,21 @@ def encode_texts(docs: DataFrame, n_best: int = 4, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = lattice(path)
         for batch in batches:
-            rows = batch.num_rows
-            for first in range(0, rows, 500):  # bounded lists of ids
-                ids = batch.column(0).slice(first, 500)
-                texts = batch.column(1).slice(first, 500).to_pylist()
-                n, score, scores, good, flat = [], [], [], [], []
-                for t in texts:
-                    best, tops = coder.scores(t, n_best)
-                    n.append(len(best))
-                    score.append(tops[0] if tops else 0.0)
-                    scores.append(tops)
-                    good.append(coder.decode(best) == (t or ""))
-                    flat.append(np.array(best, dtype=np.int32))
-                pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(score), pa.array(scores, pa.list_(pa.float64())), pa.array(good), pieces], ["doc_id", "n_pieces", "score", "scores", "round_trip", "pieces"])
+            for first, end, data, offsets in chunks(batch.column(1)):
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                if MARK.encode() in raw:  # texts that hold the mark itself go one by one
+                    each = [coder.scores(t.decode(), n_best) for t in texts]
+                    tops = [x[1] for x in each]
+                    ids = np.array([i for x in each for i in x[0]], dtype=np.int32)
+                    cuts = np.append(0, np.cumsum([len(x[0]) for x in each]))
+                else:
+                    ids, cuts, tops = coder.batch(data, offsets, n_best)
+                good = [coder.decode_bytes(ids[a:b].tolist()) == t for a, b, t in zip(cuts[:-1], cuts[1:], texts, strict=True)]
+                pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+                score = pa.array([t[0] if t else 0.0 for t in tops], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(cuts), pa.int64()), score, pa.array(tops, pa.list_(pa.float64())), pa.array(good), pieces], ["doc_id", "n_pieces", "score", "scores", "round_trip", "pieces"])
+        coder.before = {}  # workers are used again by other stages
 
     return pick(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
 
