@@ -11,10 +11,13 @@ the common box.  Hot cells are skewed join keys, which adaptive execution splits
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.functions import native as N
 from geoloom.kernel.geometry import Geom
@@ -25,8 +28,8 @@ from geoloom.plans.durable import stored
 Boxed = Callable[[DataFrame], Column]
 #: Points aimed at in a cell of the finest level.
 PER_CELL = 64
-#: A side of up to so many grid rows (about 100 bytes each, plus its columns) is sent to all executors.
-SMALL = 50_000
+#: A side of up to so many grid rows, and of so many bytes in them, is sent to all executors.
+SMALL, SMALL_BYTES = 50_000, 16_000_000
 
 
 def _levels(boxes: DataFrame, size: float) -> Column:
@@ -35,21 +38,33 @@ def _levels(boxes: DataFrame, size: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(side / F.lit(size)))).cast("int")
 
 
-def _grid(a: DataFrame, b: DataFrame) -> tuple[float, dict, int, int]:
-    """Finest cell size from one aggregation over both sides; rows of each."""
+def _width(t: T.DataType, c: Column) -> Column | None:
+    """Bytes of a value; None for kinds without a cheap answer."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(t, T.StructType):
+        parts = [_width(f.dataType, c.getField(f.name)) for f in t.fields]
+        return None if any(p is None for p in parts) else reduce(operator.add, parts, F.lit(8).cast("long"))
+    return None if isinstance(t, (T.ArrayType, T.MapType, T.VariantType)) else F.lit(8).cast("long")
+
+
+def _grid(a: DataFrame, b: DataFrame) -> tuple[float, tuple[int, int], tuple[int, int]]:
+    """Finest cell size, rows and bytes of both sides, from one aggregation over each."""
     stats = []
     for df in (a, b):
         x = F.col("_box")
-        stats.append(df.agg(F.count("*").alias("n"), F.min(x["xmin"]).alias("x0"), F.min(x["ymin"]).alias("y0"), F.max(x["xmax"]).alias("x1"), F.max(x["ymax"]).alias("y1")).first())
+        width = _width(df.schema["_row"].dataType, F.col("_row"))
+        size = F.lit(None).cast("long") if width is None else F.sum(width)
+        stats.append(df.agg(F.count("*").alias("n"), size.alias("bytes"), F.min(x["xmin"]).alias("x0"), F.min(x["ymin"]).alias("y0"), F.max(x["xmax"]).alias("x1"), F.max(x["ymax"]).alias("y1")).first())
     some = [s for s in stats if s.x0 is not None]
     if not some:
-        return 1.0, {}, 0, 0
+        return 1.0, (0, 0), (0, 0)
     w = max(s.x1 for s in some) - min(s.x0 for s in some)
     h = max(s.y1 for s in some) - min(s.y0 for s in some)
     n = max(s.n for s in stats)
     size = math.sqrt(max(w, 1e-9) * max(h, 1e-9) * PER_CELL / max(n, PER_CELL)) if n else 1.0
     size = max(size, max(w, h) / 2**24, 1e-9)
-    return size, {}, stats[0].n, stats[1].n
+    return size, (stats[0].n, stats[1].n), tuple(math.inf if s.bytes is None and s.n else s.bytes or 0 for s in stats)
 
 
 def _cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
@@ -65,18 +80,18 @@ def _cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
     return df.withColumn("_cx", F.explode(F.sequence(at(b["xmin"]), at(b["xmax"])))).withColumn("_cy", F.explode(F.sequence(at(b["ymin"]), at(b["ymax"]))))
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], points: bool) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], size_of: tuple[int, int], points: bool) -> DataFrame:
     """Pairs of the columns of both sides (left prefixed l., right r.) whose boxes meet, each once."""
     sides = [df.where(F.col("_box").isNotNull() & F.col("_box.xmin").isNotNull()).withColumn("_level", _levels(df, size)) for df in (left, right)]
     levels = [[r[0] for r in s.select("_level").distinct().collect()] for s in sides]  # at most about 30
     if not all(levels):
         levels = [[0], [0]]
     l, r = _cells(sides[0], size, levels[1]).alias("l"), _cells(sides[1], size, levels[0]).alias("r")
-    if min(rows) * 4 <= SMALL:  # checked: the smaller side's grid rows
-        if rows[0] < rows[1]:
-            l = F.broadcast(l)
-        else:
-            r = F.broadcast(r)
+    side = 0 if rows[0] < rows[1] else 1
+    # checked: the smaller side's rows and bytes, in up to four cells on each of the other side's levels
+    copies = 4 * (1 + len(levels[1 - side]))
+    if rows[side] * copies <= SMALL and size_of[side] * copies <= SMALL_BYTES:
+        l, r = (F.broadcast(l), r) if side == 0 else (l, F.broadcast(r))
     a, b = F.col("l._box"), F.col("r._box")
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("l._l"))
     meet = (F.col("l._l") == F.col("r._l")) & (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy"))
@@ -109,9 +124,9 @@ def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxe
             return left.join(inner.select("_id", *own), "_id", "left").drop("_id")
         raise ValueError(f"no spatial join of type {how}")
     a, b = _packed(left, lg, boxes[0](left)), _packed(right, rg, boxes[1](right))
-    size, _, n, m = _grid(a, b)
+    size, rows, size_of = _grid(a, b)
     points = "point" in (kind_of(left, lg), kind_of(right, rg)) and extra is None
-    pairs = _pairs(a, b, size, (n, m), points)
+    pairs = _pairs(a, b, size, rows, size_of, points)
     return _unpacked(pairs.where(condition), left, right, *(extra or []))
 
 
