@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def _lower_table() -> np.ndarray:

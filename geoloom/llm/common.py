@@ -9,8 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch. Texts may be long, so that a number of rows does not bound a worker's memory.
+BATCH = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text): extra columns, whatever their names, play no part."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import pick, save
+from geoloom.llm.common import pick, save, small_batches
 
 #: At most so many labelled rows are learned from (those of the smallest hash of their id).
 ROWS = 12_000
@@ -64,6 +64,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Null texts and languages teach nothing; without any row the model knows no language.
     """
+    small_batches(docs.sparkSession)
     marked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     ids = marked.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = marked.join(F.broadcast(ids.distinct()), "doc_id")

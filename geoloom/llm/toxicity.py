@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import pick
+from geoloom.llm.common import pick, small_batches
 
 #: At most so many labelled rows of each kind are learned from (those of the smallest hash of their id).
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -50,7 +50,7 @@ class FuzzyLexicon:
     edits, 2 a stem; or None.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 500_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 150_000):
         self.child: list[dict[str, int]] = [{}]
         self.most = [0]  # edits that some word below allows
         self.ends: list[int] = [-1]  # edits allowed where a word ends
@@ -304,4 +304,5 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str
                 p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
                 yield batch.filter(pa.array((p < cut) | np.array([not t for t in texts])))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
