@@ -118,3 +118,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def _shingles(table_name: str, key: str, k: int) -> str:
+    """SQL for the distinct (id, shingle) rows of a table."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+')"
+    cut = f"CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"SELECT DISTINCT {key}, s FROM (SELECT {key}, unnest({cut}) AS s FROM (SELECT {key}, {words} AS w FROM {table_name} WHERE {key} IS NOT NULL))"
+
+
+ORACLES["op5_decontaminate"] = f"""
+    WITH d AS ({_shingles("documents", "doc_id", 5)}), i AS ({_shingles("benchmark", "item_id", 5)}),
+    n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+    p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+ORACLES["op9_minhash_neardup"] = f"""
+    WITH RECURSIVE d AS ({_shingles("documents", "doc_id", 3)}),
+    n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    link AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 85 * (a.n + b.n - m)),
+    reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.y, reach.c FROM reach JOIN link ON reach.id = link.x),
+    own AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+    SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept
+    FROM documents JOIN own ON own.id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
