@@ -28,6 +28,8 @@ from geoloom.plans.durable import stored
 Boxed = Callable[[DataFrame], Column]
 #: Points aimed at in a cell of the finest level.
 PER_CELL = 64
+#: Against a side of up to so many rows every box is compared directly: cheaper than any grid.
+TINY = 32
 #: A side of up to so many grid rows, and of so many bytes in them, is sent to all executors.
 SMALL, SMALL_BYTES = 50_000, 16_000_000
 
@@ -67,8 +69,18 @@ def _grid(a: DataFrame, b: DataFrame) -> tuple[float, tuple[int, int], tuple[int
     return size, (stats[0].n, stats[1].n), tuple(math.inf if s.bytes is None and s.n else s.bytes or 0 for s in stats)
 
 
-def _cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
-    """A row for each (level, cell) in which a geometry may meet one of the other side's levels."""
+def _cells(df: DataFrame, size: float, others: list[int], point: bool) -> DataFrame:
+    """A row for each (level, cell) in which a geometry may meet one of the other side's levels.
+
+    A point is of the finest level and in one cell of each: with one level on
+    the other side its row is only extended, not exploded.
+    """
+    if point:
+        level = F.lit(others[0]) if len(others) == 1 else F.explode(F.array(*map(F.lit, others)))
+        df = df.withColumn("_l", level)
+        step = F.lit(size) * F.pow(F.lit(2.0), F.col("_l"))
+        at = lambda v: F.floor(v / step).cast("long")
+        return df.withColumn("_cx", at(F.col("_box.xmin"))).withColumn("_cy", at(F.col("_box.ymin")))
     own = F.col("_level")
     finer = F.exists(F.array(*map(F.lit, others)), lambda x: x <= own)
     coarser = F.filter(F.array(*map(F.lit, others)), lambda x: x > own)
@@ -80,14 +92,19 @@ def _cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
     return df.withColumn("_cx", F.explode(F.sequence(at(b["xmin"]), at(b["xmax"])))).withColumn("_cy", F.explode(F.sequence(at(b["ymin"]), at(b["ymax"]))))
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], size_of: tuple[int, int], points: bool) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], size_of: tuple[int, int], points: tuple[bool, bool]) -> DataFrame:
     """Pairs of the columns of both sides (left prefixed l., right r.) whose boxes meet, each once."""
-    sides = [df.where(F.col("_box").isNotNull() & F.col("_box.xmin").isNotNull()).withColumn("_level", _levels(df, size)) for df in (left, right)]
-    levels = [[r[0] for r in s.select("_level").distinct().collect()] for s in sides]  # at most about 30
+    some = [df.where(F.col("_box").isNotNull() & F.col("_box.xmin").isNotNull()) for df in (left, right)]
+    side = 0 if rows[0] < rows[1] else 1
+    if rows[side] <= TINY and size_of[side] <= SMALL_BYTES:
+        l, r = some[0].alias("l"), some[1].alias("r")
+        l, r = (F.broadcast(l), r) if side == 0 else (l, F.broadcast(r))
+        return l.join(r, N.rect_intersects(F.col("l._box"), F.col("r._box")))
+    sides = [df.withColumn("_level", F.lit(0) if p else _levels(df, size)) for df, p in zip(some, points, strict=True)]
+    levels = [[0] if p else [r[0] for r in s.select("_level").distinct().collect()] for s, p in zip(sides, points, strict=True)]  # at most about 30
     if not all(levels):
         levels = [[0], [0]]
-    l, r = _cells(sides[0], size, levels[1]).alias("l"), _cells(sides[1], size, levels[0]).alias("r")
-    side = 0 if rows[0] < rows[1] else 1
+    l, r = (_cells(s, size, levels[1 - k], points[k]).alias("lr"[k]) for k, s in enumerate(sides))
     # checked: the smaller side's rows and bytes, in up to four cells on each of the other side's levels
     copies = 4 * (1 + len(levels[1 - side]))
     if rows[side] * copies <= SMALL and size_of[side] * copies <= SMALL_BYTES:
@@ -98,25 +115,25 @@ def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int]
     meet = meet & (F.col("l._l") == F.greatest(F.col("l._level"), F.col("r._level"))) & N.rect_intersects(a, b)
     # the cell of the common box's corner speaks for the pair
     corner = (F.floor(F.greatest(a["xmin"], b["xmin"]) / step) == F.col("l._cx")) & (F.floor(F.greatest(a["ymin"], b["ymin"]) / step) == F.col("l._cy"))
-    return l.join(r, meet if points else meet & corner)
+    return l.join(r, meet if any(points) else meet & corner)
 
 
 def _packed(df: DataFrame, geom: str, boxed: Column) -> DataFrame:
     return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), boxed.alias("_box"), df[geom].alias("_geom"))
 
 
-def _unpacked(pairs: DataFrame, left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
+def _unpacked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """All columns of both sides; those of the right whose name the left has get the suffix _right."""
     taken = set(left.columns)
     cols = [F.col("l._row").getField(c).alias(c) for c in left.columns]
     cols += [F.col("r._row").getField(c).alias(f"{c}_right" if c in taken else c) for c in right.columns]
-    return pairs.select(*cols, *more)
+    return pairs.select(*cols)
 
 
-def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column, how: str, extra: list[Column] | None = None) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column, how: str, grown: bool = False) -> DataFrame:
     if how != "inner":
         left = stored(left.withColumn("_id", F.monotonically_increasing_id()))
-        inner = _join(left, right, lg, rg, boxes, condition, "inner", extra)
+        inner = _join(left, right, lg, rg, boxes, condition, "inner", grown)
         if how in ("left_semi", "left_anti"):
             return left.join(inner.select("_id").distinct(), "_id", how).drop("_id")
         if how == "left":
@@ -125,9 +142,9 @@ def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxe
         raise ValueError(f"no spatial join of type {how}")
     a, b = _packed(left, lg, boxes[0](left)), _packed(right, rg, boxes[1](right))
     size, rows, size_of = _grid(a, b)
-    points = "point" in (kind_of(left, lg), kind_of(right, rg)) and extra is None
+    points = (kind_of(left, lg) == "point" and not grown, kind_of(right, rg) == "point")
     pairs = _pairs(a, b, size, rows, size_of, points)
-    return _unpacked(pairs.where(condition), left, right, *(extra or []))
+    return _unpacked(pairs.where(condition), left, right)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: str = "geom", right_geom: str = "geom", how: str = "inner", compat: bool = False) -> DataFrame:
@@ -154,7 +171,7 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
     limit = F.col("l._row._radius")
     condition = d < limit if strict else d <= limit
     boxes = (lambda df: N.grow(box(df, left_geom), F.col("_radius")), lambda df: box(df, right_geom))
-    out = _join(left, right, left_geom, right_geom, boxes, condition, how, [])
+    out = _join(left, right, left_geom, right_geom, boxes, condition, how, grown=True)
     return out.drop("_radius")
 
 
