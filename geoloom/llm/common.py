@@ -59,8 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) pairs of longs: (id, component), the component being its smallest id.
 
     Alternates large-star and small-star steps until the edges no longer change;
-    every step is one aggregation with map-side combining and one equi-join, so a
-    hub with very many edges is split like any skewed join key.  Ids without an
+    every step is one aggregation with map-side combining and one equi-join of
+    two stored tables, so that a hub with very many edges is split like any
+    skewed join key.  Ids without an
     edge are not returned; self loops, repeated and null pairs are ignored.
     """
     edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -70,15 +71,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # every edge now points from the larger to the smaller id
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # large star: what hangs on b hangs on b's smallest neighbour instead, if b has a smaller one
+        least = save(edges.groupBy("a").agg(F.min("b").alias("m")))
+        moved = edges.join(least.select(F.col("a").alias("k"), "m"), F.col("b") == F.col("k"), "left")
+        large = save(moved.select("a", F.coalesce("m", "b").alias("b")).distinct())
+        drop(least)
+        # small star: all smaller neighbours of a, and a itself, hang on the smallest of them
+        least = save(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = save(small)
-        drop(edges)
+        new = save(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        for old in (edges, large, least):
+            drop(old)
         edges, after = new, state(new)
         if after == before:
             break
