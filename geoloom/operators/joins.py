@@ -94,12 +94,16 @@ def _cells(df: DataFrame, size: float, others: list[int], point: bool) -> DataFr
 
 def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], size_of: tuple[int, int], points: tuple[bool, bool]) -> DataFrame:
     """Pairs of the columns of both sides (left prefixed l., right r.) whose boxes meet, each once."""
-    some = [df.where(F.col("_box").isNotNull() & F.col("_box.xmin").isNotNull()) for df in (left, right)]
+    # plain columns for the boxes: comparisons on fields of structs are several times slower
+    sides_of = [F.col(f"_box.{f}").alias(f"_{f}") for f in ("xmin", "ymin", "xmax", "ymax")]
+    some = [df.where(F.col("_box.xmin").isNotNull()).select("*", *sides_of) for df in (left, right)]
+    c = F.col
+    boxes_meet = (c("l._xmin") <= c("r._xmax")) & (c("r._xmin") <= c("l._xmax")) & (c("l._ymin") <= c("r._ymax")) & (c("r._ymin") <= c("l._ymax"))
     side = 0 if rows[0] < rows[1] else 1
     if rows[side] <= TINY and size_of[side] <= SMALL_BYTES:
         l, r = some[0].alias("l"), some[1].alias("r")
         l, r = (F.broadcast(l), r) if side == 0 else (l, F.broadcast(r))
-        return l.join(r, N.rect_intersects(F.col("l._box"), F.col("r._box")))
+        return l.join(r, boxes_meet)
     sides = [df.withColumn("_level", F.lit(0) if p else _levels(df, size)) for df, p in zip(some, points, strict=True)]
     levels = [[0] if p else [r[0] for r in s.select("_level").distinct().collect()] for s, p in zip(sides, points, strict=True)]  # at most about 30
     if not all(levels):
@@ -109,12 +113,11 @@ def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int]
     copies = 4 * (1 + len(levels[1 - side]))
     if rows[side] * copies <= SMALL and size_of[side] * copies <= SMALL_BYTES:
         l, r = (F.broadcast(l), r) if side == 0 else (l, F.broadcast(r))
-    a, b = F.col("l._box"), F.col("r._box")
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("l._l"))
     meet = (F.col("l._l") == F.col("r._l")) & (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy"))
-    meet = meet & (F.col("l._l") == F.greatest(F.col("l._level"), F.col("r._level"))) & N.rect_intersects(a, b)
+    meet = meet & (F.col("l._l") == F.greatest(F.col("l._level"), F.col("r._level"))) & boxes_meet
     # the cell of the common box's corner speaks for the pair
-    corner = (F.floor(F.greatest(a["xmin"], b["xmin"]) / step) == F.col("l._cx")) & (F.floor(F.greatest(a["ymin"], b["ymin"]) / step) == F.col("l._cy"))
+    corner = (F.floor(F.greatest("l._xmin", "r._xmin") / step) == c("l._cx")) & (F.floor(F.greatest("l._ymin", "r._ymin") / step) == c("l._cy"))
     return l.join(r, meet if any(points) else meet & corner)
 
 
@@ -130,7 +133,7 @@ def _unpacked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select(*cols)
 
 
-def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column, how: str, grown: bool = False) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column | None, how: str, grown: bool = False) -> DataFrame:
     if how != "inner":
         left = stored(left.withColumn("_id", F.monotonically_increasing_id()))
         inner = _join(left, right, lg, rg, boxes, condition, "inner", grown)
@@ -144,7 +147,11 @@ def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxe
     size, rows, size_of = _grid(a, b)
     points = (kind_of(left, lg) == "point" and not grown, kind_of(right, rg) == "point")
     pairs = _pairs(a, b, size, rows, size_of, points)
-    return _unpacked(pairs.where(condition), left, right)
+    return _unpacked(pairs if condition is None else pairs.where(condition), left, right)
+
+
+#: Predicates and kinds for which the meeting of the boxes is the answer.
+SAID_BY_BOXES = {("contains", "rect", "point"), ("within", "point", "rect"), ("intersects", "rect", "point"), ("intersects", "point", "rect"), ("intersects", "rect", "rect"), ("intersects", "point", "point"), ("equals", "point", "point"), ("contains", "point", "point"), ("within", "point", "point")}
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: str = "geom", right_geom: str = "geom", how: str = "inner", compat: bool = False) -> DataFrame:
@@ -159,6 +166,8 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: s
     if compat:
         predicate = {"touches": "intersects", "overlaps": "contains", "equals": "contains", "crosses": "contains"}.get(predicate, predicate)
     condition = exact(predicate, F.col("l._geom"), F.col("r._geom"), kinds)
+    if (predicate, *kinds) in SAID_BY_BOXES:
+        condition = None
     return _join(left, right, left_geom, right_geom, (lambda df: box(df, left_geom), lambda df: box(df, right_geom)), condition, how)
 
 

@@ -16,6 +16,11 @@ def _at(key: Column, k: int, m: int, off: float) -> Column:
     return (key * k % m).cast("double") / 10.0 - off
 
 
+def _point(x: Column, y: Column) -> Column:
+    """As a stored column would be: keys are never null."""
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
 def _sql_at(key: str, k: int, m: int, off: float) -> str:
     return f"((({key}) * {k}) % {m})::DOUBLE / 10.0::DOUBLE - {off}::DOUBLE"
 
@@ -23,7 +28,7 @@ def _sql_at(key: str, k: int, m: int, off: float) -> str:
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.select("c_custkey", "c_nationkey", "c_acctbal", N.point(_at(k, 37, 3600, 180.0), _at(k, 91, 1800, 90.0)).alias("geom"))
+    return c.select("c_custkey", "c_nationkey", "c_acctbal", _point(_at(k, 37, 3600, 180.0), _at(k, 91, 1800, 90.0)).alias("geom"))
 
 
 CUSTOMERS = f"(SELECT c_custkey, c_nationkey, c_acctbal, {_sql_at('c_custkey', 37, 3600, 180)} AS x, {_sql_at('c_custkey', 91, 1800, 90)} AS y FROM customer)"
@@ -32,7 +37,7 @@ CUSTOMERS = f"(SELECT c_custkey, c_nationkey, c_acctbal, {_sql_at('c_custkey', 3
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    return s.select("s_suppkey", N.point(_at(k, 53, 3600, 180.0), _at(k, 71, 1800, 90.0)).alias("geom"), (1 + k % 20).cast("double").alias("r"))
+    return s.select("s_suppkey", _point(_at(k, 53, 3600, 180.0), _at(k, 71, 1800, 90.0)).alias("geom"), (1 + k % 20).cast("double").alias("r"))
 
 
 SUPPLIERS = f"(SELECT s_suppkey, {_sql_at('s_suppkey', 53, 3600, 180)} AS x, {_sql_at('s_suppkey', 71, 1800, 90)} AS y, (1 + s_suppkey % 20)::DOUBLE AS r FROM supplier)"
@@ -63,7 +68,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     x = (F.col("l_partkey") * 37 + F.col("l_linenumber") * 11) % 3600
     y = (F.col("l_partkey") * 91 + F.col("l_linenumber") * 7) % 1800
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", N.point(x.cast("double") / 10.0 - 180.0, y.cast("double") / 10.0 - 90.0).alias("geom"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", _point(x.cast("double") / 10.0 - 180.0, y.cast("double") / 10.0 - 90.0).alias("geom"))
 
 
 ITEMS = "(SELECT l_orderkey, l_linenumber, l_partkey, ((l_partkey * 37 + l_linenumber * 11) % 3600)::DOUBLE / 10.0::DOUBLE - 180::DOUBLE AS x, ((l_partkey * 91 + l_linenumber * 7) % 1800)::DOUBLE / 10.0::DOUBLE - 90::DOUBLE AS y FROM lineitem)"
@@ -72,7 +77,7 @@ ITEMS = "(SELECT l_orderkey, l_linenumber, l_partkey, ((l_partkey * 37 + l_linen
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    return o.select("o_orderkey", "o_custkey", "o_orderdate", N.point(_at(k, 37, 3600, 180.0), _at(k, 91, 1800, 90.0)).alias("geom"))
+    return o.select("o_orderkey", "o_custkey", "o_orderdate", _point(_at(k, 37, 3600, 180.0), _at(k, 91, 1800, 90.0)).alias("geom"))
 
 
 ORDERS = f"(SELECT o_orderkey, o_custkey, o_orderdate, {_sql_at('o_orderkey', 37, 3600, 180)} AS x, {_sql_at('o_orderkey', 91, 1800, 90)} AS y FROM orders)"
