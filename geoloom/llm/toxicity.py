@@ -19,12 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import pick, small_batches
+from geoloom.llm.bytewords import WHITE, U, chunks, mix, shingles, words
+from geoloom.llm.common import pick, save, small_batches
 
 #: At most so many labelled rows of each kind are learned from (those of the smallest hash of their id).
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 #: Terms: in how many toxic documents at least (a number, and a share), log odds at least, and how many are kept.
 MIN_ROWS, MIN_SHARE, MIN_ODDS, MAX_TERMS = 3, 0.01, 2.0, 2000
+#: Ordinary words near a term that are kept at most, and the least weight of a misspelling as a share of the term's.
+MAX_SPARE, NEAR = 20_000, 0.8
+#: Log odds, and share of the toxic documents, from which a word's misspellings are looked for.
+FUZZY_ODDS, FUZZY_SHARE = 3.5, 0.05
 #: Lengths of stems, and how many different words must share one.
 STEM, STEM_WORDS = (4, 8), 4
 #: Tokens on either side that make a hit's context.
@@ -50,19 +55,20 @@ class FuzzyLexicon:
     edits, 2 a stem; or None.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 150_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], spare: frozenset[str] = frozenset(), near: frozenset[str] | None = None, limit: int = 150_000):
         self.child: list[dict[str, int]] = [{}]
         self.most = [0]  # edits that some word below allows
         self.ends: list[int] = [-1]  # edits allowed where a word ends
         self.odds = [0.0]  # of the word that ends here
         self.stem = [0.0]  # odds of the stem that ends here
         for term, odds in words.items():
-            k = edits(term)
+            k = edits(term) if near is None or term in near else 0
             node = self._walk(term, k)
             self.ends[node], self.odds[node] = k, odds
         for term, odds in stems.items():
             self.stem[self._walk(term, 0)] = odds
         self.limit = limit
+        self.spare = spare  # ordinary words that happen to lie near a term
         self.memo: dict[str, tuple[int, float] | None] = {}
         self._reset()
 
@@ -137,7 +143,10 @@ class FuzzyLexicon:
             s = self._step(s, c) if t is None else t
             if not self.sets[s][0]:  # no word can follow; a stem that was met stays
                 break
-        self.memo[token] = found = self.ending[s]
+        found = self.ending[s]
+        if found is not None and found[0] == 1 and token in self.spare:
+            found = None
+        self.memo[token] = found
         return found
 
 
@@ -146,6 +155,10 @@ class Model:
     #: Terms and their log odds.
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    #: Words of clean documents that lie within a term's edits: no misspellings.
+    spare: frozenset[str] = frozenset()
+    #: Words whose misspellings are looked for.
+    near: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=lambda: [-3.0] + [0.0] * (N_FEATURES - 1))
 
 
@@ -227,6 +240,25 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(count.values()), pa.int64())], ["term", "stem", "n"])
 
 
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """Learning rows that share neither of two minima over their five-word shingles: copies of one text are one witness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(2)):
+                value, _, firsts = shingles(*words((data, offsets), WHITE), 5)
+                keys = np.zeros((2, end - first), dtype=np.int64)
+                some = np.flatnonzero(np.diff(firsts))
+                if len(some):
+                    for k in range(2):
+                        keys[k, some] = np.minimum.reduceat(mix(value + U(11 + k)), firsts[some]).view(np.int64)
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "y", "text", "k1", "k2"])
+
+    marked = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, text string, k1 long, k2 long")
+    return save(marked.dropDuplicates(["y", "k1"]).dropDuplicates(["y", "k2"]).select("y", "text"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = (TOXIC_ROWS, CLEAN_ROWS)) -> Model:
     """Learns the lexicon and the weights from labelled documents.
 
@@ -240,14 +272,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(i, y) for y, group in ((1, ids[0]), (0, ids[1])) for i in group], "doc_id long, y int")
     texts = pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where("text is not null")
-    n_toxic, n_clean = len(ids[0]), len(ids[1])
+    if not ids[0]:
+        return Model()
+    texts = _without_copies(texts)
+    counts = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
+    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic:
         return Model()
     terms = texts.where("y = 1").select("text").mapInArrow(_terms, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
-    words = terms.where("not stem")
-    shared = words.select(F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.greatest(F.lit(STEM[0]), F.length("term") - 1))), lambda k: F.substring("term", 1, k))).alias("term")).groupBy("term").agg(F.count("*").alias("shared"))
+    whole = terms.where("not stem")
+    shared = whole.select(F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.greatest(F.lit(STEM[0]), F.length("term") - 1))), lambda k: F.substring("term", 1, k))).alias("term")).groupBy("term").agg(F.count("*").alias("shared"))
     stems = terms.where("stem").join(shared, "term").where(F.col("shared") >= STEM_WORDS).select("term", "stem", "n")
-    likely = words.union(stems).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * n_toxic)).orderBy(F.desc("n"), "term").limit(20 * MAX_TERMS).collect()
+    likely = whole.union(stems).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * n_toxic)).orderBy(F.desc("n"), "term").limit(20 * MAX_TERMS).collect()
     candidates = {(r.term, r.stem): r.n for r in likely}
 
     def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +295,36 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = {k: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(k, 0) + 1) / (n_clean + 1)) - n**-0.5) for k, n in candidates.items()}
     good = sorted((k for k in odds if odds[k] >= MIN_ODDS), key=lambda k: (-candidates[k] * odds[k], k))[:MAX_TERMS]
     model = Model({t: odds[t, False] for t, stem in good if not stem}, {t: odds[t, True] for t, stem in good if stem})
+    model.near = frozenset(t for t, o in model.words.items() if o >= FUZZY_ODDS and candidates[t, False] >= FUZZY_SHARE * n_toxic)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = FuzzyLexicon(model.words, model.stems, near=model.near)
+        for batch in batches:
+            found = {w for t in batch.column(0).to_pylist() for w in TOKEN.findall(t.lower()) if (hit := lexicon.find(w)) and hit[0] == 1}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["term"])
+
+    spare = texts.where("y = 0").select("text").mapInArrow(near, "term string").groupBy("term").count().orderBy(F.desc("count"), "term").limit(MAX_SPARE).collect()
+    model.spare = frozenset(r.term for r in spare)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(model.words, model.stems)
+        lexicon = FuzzyLexicon(model.words, model.stems, model.spare, model.near)
         for batch in batches:
             x = [features(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     data = texts.select("y", "text").mapInArrow(describe, "y int, x array<double>").collect()  # bounded by ``rows``
-    model.weights = [float(w) for w in _fit(np.array([r.x for r in data]), np.array([r.y for r in data]))]
+    x, y = np.array([r.x for r in data]), np.array([r.y for r in data])
+    active = list(range(N_FEATURES))
+    while True:  # hits never speak against toxicity: features with a negative weight are left out, quotation apart
+        w = np.zeros(N_FEATURES)
+        w[active] = _fit(x[:, active], y)
+        wrong = [i for i in active if 0 < i < N_FEATURES - 1 and w[i] < 0]
+        if not wrong:
+            break
+        active = [i for i in active if i not in wrong]
+    # misspellings may be too rare among the labelled rows to be learned: they count nearly as much as the term
+    w[2] = max(w[2], NEAR * w[1])
+    model.weights = [float(x) for x in w]
     return model
 
 
@@ -279,7 +336,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(model.words, model.stems)
+        lexicon = FuzzyLexicon(model.words, model.stems, model.spare, model.near)
         w = np.array(model.weights)
         for batch in batches:
             if not batch.num_rows:
@@ -295,7 +352,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str
     """The rows, with all their columns, whose text scores below ``cut``; null and empty texts stay. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(model.words, model.stems)
+        lexicon = FuzzyLexicon(model.words, model.stems, model.spare, model.near)
         w = np.array(model.weights)
         for batch in batches:
             if batch.num_rows:
