@@ -28,7 +28,7 @@ TYPES = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 #: A text without any of these has no entity: most texts are settled by this.
-HINT = r"@|\d\d|AKIA|gh[pousr]_|sk-|password|passwd|secret|api_key|token|Mr|Ms|Miss|Herr|Frau|Señor|Monsieur|Madame|Mme|Госп|Κυρ|Κύρ"
+HINT = r"@|\d\d|\d\.\d|AKIA|gh[pousr]_|sk-|password|passwd|secret|api_key|token|Mr|Ms|Miss|Herr|Frau|Señor|Monsieur|Madame|Mme|Госп|Κυρ|Κύρ"
 #: Titles of women; names after other titles get men's.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|Κυρία)\b"
 #: By script: first letters, syllables, endings of men's and of women's given names, of surnames.
