@@ -18,7 +18,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: (type, pattern); the first that matches at a place counts.
 TYPES = [
     ("email", r"\b[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}\b"),
-    ("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bsk-[A-Za-z0-9]{20,64}\b|(?<=(?:password|passwd|secret|api_key|token) ?[=:] ?[\"']?)(?=[A-Za-z_-]{0,128}+[0-9])[A-Za-z0-9_-]{8,128}+"),
+    ("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bsk-[A-Za-z0-9]{20,64}\b|(?<=[=: \"'])(?<=(?i:password|passwd|secret|api[_-]?key|token) ?[=:] ?[\"']?)(?=[A-Za-z_-]{0,128}+[0-9])[A-Za-z0-9_-]{8,128}+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])"),
     ("ssn", r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -28,7 +28,7 @@ TYPES = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 #: A text without any of these has no entity: most texts are settled by this.
-HINT = r"@|\d\d|\d\.\d|AKIA|gh[pousr]_|sk-|password|passwd|secret|api_key|token|Mr|Ms|Miss|Herr|Frau|Señor|Monsieur|Madame|Mme|Госп|Κυρ|Κύρ"
+HINT = r"@|\d\d|\d\.\d|AKIA|gh[pousr]_|sk-|(?i:password|passwd|secret|api[_-]?key|token)|Mr|Ms|Miss|Herr|Frau|Señor|Monsieur|Madame|Mme|Госп|Κυρ|Κύρ"
 #: Titles of women; names after other titles get men's.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|Κυρία)\b"
 #: By script: first letters, syllables, endings of men's and of women's given names, of surnames.

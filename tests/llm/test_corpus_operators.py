@@ -255,6 +255,13 @@ def test_prefilter_loses_no_entity(spark):
         assert r.n == 1 and ALONE[r.doc_id][2] not in r.text, ALONE[r.doc_id]
 
 
+def test_secrets_behind_keywords_of_any_case(spark):
+    value = "q7RtLmXwZk"
+    texts = [f'{k}{v}' for k in ("TOKEN", "Token", "token", "PASSWORD", "Passwd", "API_KEY", "ApiKey", "api-key", "SECRET") for v in (f' = "{value}"', f"={value}", f": {value}")]
+    out = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_col="n").collect()
+    assert len(out) == len(texts) and all(r.n == 1 and value not in r.text for r in out)
+
+
 def test_surrogates_stay_distinct(spark):
     """With few possible surrogates the collision check has to work: social-security-like numbers of a tiny space."""
     ents = spark.range(400).select(F.lit("ip").alias("kind"), F.concat(F.lit("1.2."), (F.col("id") / 20).cast("int").cast("string"), F.lit("."), (F.col("id") % 20).cast("string")).alias("plain"))
