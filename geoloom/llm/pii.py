@@ -37,8 +37,8 @@ SCRIPTS = {
     "cyrillic": (list("БДГКЛМНПРСТВ"), ["ал", "ан", "ар", "ел", "ен", "ер", "ил", "ин", "ол", "он", "ор", "ум"], ["мир", "слав", "тон", "дрей", "мен", "вин"], ["а", "ина", "ела", "ия", "еса", "ора"], ["ский", "енко", "ович", "ман", "нер", "ик"]),
     "greek": (list("ΒΔΓΚΛΜΝΠΡΣΤΦ"), ["αλ", "αν", "αρ", "ελ", "εν", "ερ", "ιλ", "ιν", "ολ", "ον", "ορ", "υμ"], ["ιος", "ανος", "ων", "ης", "ιππος", "ας"], ["α", "ινη", "ελα", "ια", "εσα", "ορα"], ["ιδης", "πουλος", "ακης", "ου", "ας", "ινος"]),
 }
-#: Rounds of new derivations before the rest is given up (never seen; each round leaves a tiny share).
-ROUNDS = 20
+#: The round of new derivations from which surrogates grow, by a digit or syllable a round, so that any number of entities finds room.
+LONGER = 8
 
 
 def find(text: Column) -> Column:
@@ -98,40 +98,44 @@ def _pick(options: list[str], digest: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), _hex(digest, F.lit(i), len(options)).cast("int") + 1)
 
 
-def surrogate(kind: Column, plain: Column, digest: Column) -> Column:
-    """A replacement of the same type and format, in normal form."""
+def surrogate(kind: Column, plain: Column, digest: Column, longer: Column) -> Column:
+    """A replacement of the same type and format, in normal form; longer than that by so many digits or syllables."""
     like = _like(plain, digest)
+    each = lambda pick: F.array_join(F.transform(F.array_repeat(F.lit(""), longer), lambda _, i: pick(F.sha2(digest, 256), i)), "")
+    more = each(lambda d, i: _hex(d, i, 10).cast("string"))
     code = F.when(F.length(plain) > 10, F.substring(plain, F.lit(1), F.length(plain) - 10)).otherwise(F.lit(""))  # a country's code
     rest = F.substring(like, F.length(code) + 1, F.length(plain))
-    phone = F.concat(code, (F.lit(2) + _hex(digest, F.lit(17), 8)).cast("string"), F.substring(rest, F.lit(2), F.length(plain)))
-    card = F.concat(F.substring(plain, 1, 1), F.substring(like, F.lit(2), F.length(plain) - 2))
+    phone = F.concat(code, (F.lit(2) + _hex(digest, F.lit(17), 8)).cast("string"), F.substring(rest, F.lit(2), F.length(plain)), more)
+    card = F.concat(F.substring(plain, 1, 1), F.substring(like, F.lit(2), F.length(plain) - 2), more)
     sum_10 = F.pmod(10 - _luhn(F.concat(card, F.lit("0"))), F.lit(10))
     wrong = F.pmod(sum_10 + 1 + _hex(digest, F.lit(18), 9), F.lit(10))
     card = F.concat(card, F.when(_luhn(plain) == 0, sum_10).otherwise(wrong).cast("string"))
-    ip = F.array_join(F.transform(F.split(plain, r"\."), lambda o, i: (F.lit(1) + _hex(digest, i, 254)).cast("string")), ".")
+    # no real address has octets above 255
+    ip = F.array_join(F.transform(F.split(plain, r"\."), lambda o, i: F.when(longer > 0, F.lit(256) + _hex(digest, i, 744)).otherwise(F.lit(1) + _hex(digest, i, 254)).cast("string")), ".")
     domain = F.substring_index(plain, "@", -1)
     top = F.substring_index(domain, ".", -1)
-    email = F.concat(F.substring(like, F.lit(1), F.length(plain) - F.length(top)), top)
-    iban = F.concat(F.substring(plain, 1, 2), F.substring(like, F.lit(3), F.length(plain)))
+    email = F.concat(more, F.substring(like, F.lit(1), F.length(plain) - F.length(top)), top)
+    iban = F.concat(F.substring(plain, 1, 2), F.substring(like, F.lit(3), F.length(plain)), more)
     key = F.when(plain.rlike("^AKIA"), F.concat(F.lit("AKIA"), F.substring(like, F.lit(5), F.length(plain)))).when(plain.rlike("^(?:gh[pousr]_|sk-)"), F.concat(F.substring_index(F.regexp_replace(plain, "-", "_"), "_", 1), F.substring(plain, F.length(F.substring_index(F.regexp_replace(plain, "-", "_"), "_", 1)) + 1, F.lit(1)), F.substring(like, F.length(F.substring_index(F.regexp_replace(plain, "-", "_"), "_", 1)) + 2, F.length(plain)))).when(plain.rlike("^[0-9a-f]+$"), _hex_like(plain, digest)).otherwise(like)
-    part = F.lit("")
+    part = None
     for script, (first, middle, men, women, families) in SCRIPTS.items():
         test = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}[script]
         stem = F.concat(_pick(first, digest, 1), _pick(middle, digest, 2), _pick(list("bdfgklmnprstv") if script == "latin" else [c.lower() for c in first], digest, 3), _pick(middle, digest, 4))
         end = F.when(kind == "male", _pick(men, digest, 5)).when(kind == "female", _pick(women, digest, 6)).otherwise(_pick(families, digest, 7))
-        part = F.when(plain.rlike(test), F.concat(stem, end)).otherwise(part)
-    return F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "iban", iban).when(kind == "secret", key).when(kind == "ssn", like).otherwise(part)
+        made = F.concat(stem, each(lambda d, i, middle=middle: F.element_at(F.array(*map(F.lit, middle)), _hex(d, i, len(middle)).cast("int") + 1)), end)
+        part = made if part is None else F.when(plain.rlike(test), made).otherwise(part)  # other scripts get Latin names
+    return F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "iban", iban).when(kind == "secret", F.concat(key, more)).when(kind == "ssn", F.concat(like, more)).otherwise(part)
 
 
 def _derive(rows: DataFrame, key: str) -> DataFrame:
     digest = F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "plain", F.col("round").cast("string")), 256)
-    return rows.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("plain"), F.col("digest"))).drop("digest")
+    return rows.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("plain"), F.col("digest"), F.greatest(F.col("round") - (LONGER - 1), F.lit(0)))).drop("digest")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, plain, surrogate) of distinct (kind, plain) rows: surrogates of one kind differ from each other and from every real one."""
     current = save(_derive(entities.withColumn("round", F.lit(0)), key))
-    for _ in range(ROUNDS):
+    while True:  # ends: from LONGER on every round has ten times the room
         # of those that share a surrogate, the one of the earliest round and smallest form keeps it
         first = current.groupBy("kind", "surrogate").agg(F.min(F.struct("round", "plain")).alias("owner"))
         real = current.select("kind", F.col("plain").alias("surrogate"), F.lit(True).alias("real"))
@@ -144,7 +148,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         new = save(judged.where("good").select("kind", "plain", "round", "surrogate").union(again.select("kind", "plain", "round", "surrogate")))
         drop(current)
         current = new
-    raise ValueError(f"surrogates still clash after {ROUNDS} rounds")
 
 
 def _name_parts(entity: Column) -> tuple[Column, Column, Column]:
@@ -156,12 +159,13 @@ def _name_parts(entity: Column) -> tuple[Column, Column, Column]:
 
 
 def _laid_out(kind: Column, entity: Column, new: Column) -> Column:
-    """The surrogate in the mention's own format: its digits go where the mention's digits stand."""
+    """The surrogate in the mention's own format: its digits go where the mention's digits stand, and those it has more to the end."""
+    rest = lambda drop: F.substring(new, F.length(F.regexp_replace(entity, drop, "")) + 1, F.length(new))
     at = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
     numbers = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, at(i), F.lit(1))).otherwise(c)), "")
     at_plain = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[ -]", ""))
     blocks = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[ -]"), c).otherwise(F.substring(new, at_plain(i), F.lit(1)))), "")
-    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", blocks).otherwise(new)
+    return F.when(kind.isin("phone", "card", "ssn"), F.concat(numbers, rest("[^0-9]"))).when(kind == "iban", F.concat(blocks, rest("[ -]"))).otherwise(new)
 
 
 def replace_pii(docs: DataFrame, key: str = "geoloom", text_col: str = "text", count_col: str | None = None) -> DataFrame:

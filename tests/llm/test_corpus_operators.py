@@ -272,6 +272,18 @@ def test_surrogates_stay_distinct(spark):
         assert not {r.surrogate for r in out} & {r.plain for r in out}
 
 
+def test_surrogates_end_where_their_room_is_too_small(spark, monkeypatch):
+    """More entities than surrogates of their form: all numbers of 2 digits, names of few syllables, a script without names of its own."""
+    monkeypatch.setattr(pii, "LONGER", 2, raising=False)
+    monkeypatch.setattr(pii, "SCRIPTS", {k: (f[:1], m[:2], men, women, families[:1]) for k, (f, m, men, women, families) in pii.SCRIPTS.items()})
+    kinds = [(k, f"{i:02d}") for k in ("ssn", "phone", "card", "iban") for i in range(100)] + [("family", f"{a}{b}") for a in "ABCDEFGHIJ" for b in "abcdefghij"] + [("family", "Հայկ"), ("family", "Արամ")]
+    out = pii.surrogates(spark.createDataFrame(kinds, "kind string, plain string"), "k").collect()
+    assert len({(r.kind, r.surrogate) for r in out}) == len(out) == len(kinds)
+    assert not {(r.kind, r.surrogate) for r in out} & set(kinds)
+    laid = spark.range(1).select(pii._laid_out(F.lit("phone"), F.lit("+1 23-45"), F.lit("67890123")).alias("x")).first().x
+    assert laid == "+6 78-90123"
+
+
 def test_whole_texts_far_apart(spark):
     text = "x " * 200_000 + "joe@a.example.org " + "y." * 200_000
     r = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), count_col="n").first()
