@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import drop, save
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: (type, pattern); the first that matches at a place counts.
+#: (type, pattern); the first that matches at a place counts. Groups have names: each pattern also stands alone.
 TYPES = [
     ("email", r"\b[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}\b"),
     ("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bsk-[A-Za-z0-9]{20,64}\b|(?<=[=: \"'])(?<=(?i:password|passwd|secret|api[_-]?key|token) ?[=:] ?[\"']?)(?=[A-Za-z_-]{0,128}+[0-9])[A-Za-z0-9_-]{8,128}+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("card", r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])"),
+    ("card", r"(?<![\w.+-])\d{4}(?<card>[ -]?)\d{4}\k<card>\d{4}\k<card>\d{1,7}(?![\w-])"),
     ("ssn", r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}([.-])\d{3}\2\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}(?<phone>[.-])\d{3}\k<phone>\d{4}(?![\w-])"),
     ("name", r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}\p{Ll}{1,30}(?:[ -]\p{Lu}\p{Ll}{1,30})?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)

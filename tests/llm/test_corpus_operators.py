@@ -284,6 +284,15 @@ def test_surrogates_end_where_their_room_is_too_small(spark, monkeypatch):
     assert laid == "+6 78-90123"
 
 
+def test_kinds_of_entities_and_forms_of_one_number(spark):
+    """A pattern that finds an entity in a text also knows it alone; forms of one number share a surrogate."""
+    found = spark.createDataFrame([(k, t) for k, t, _ in ALONE], "kind string, text string").select("kind", F.explode(pii.find(F.col("text"))).alias("e")).select("kind", "e", pii.kind_of(F.col("e")).alias("got")).collect()
+    assert len(found) == len(ALONE) and all(r.got == r.kind for r in found)
+    out = pii.replace_pii(spark.createDataFrame([(1, "at 415-555-0123, 415.555.0123, (415) 555-0123")], "doc_id long, text string")).first().text
+    m = re.fullmatch(r"at (\d{3}-\d{3}-\d{4}), (\d{3}\.\d{3}\.\d{4}), (\(\d{3}\) \d{3}-\d{4})", out)
+    assert m and len({re.sub(r"\D", "", x) for x in m.groups()}) == 1
+
+
 def test_whole_texts_far_apart(spark):
     text = "x " * 200_000 + "joe@a.example.org " + "y." * 200_000
     r = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), count_col="n").first()
