@@ -39,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' best piece sequences, with the scores of the best few."""
+    """The documents' best piece sequences, with the scores of the best few and what they change."""
     return encode_texts(docs)
 
 

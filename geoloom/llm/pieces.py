@@ -210,7 +210,7 @@ class Lattice:
         for k in few.tolist():
             if gaps[k] < np.inf:
                 score, ids, _ = found[k]
-                others = ((score - w[0], w[1]) for w in self.paths(parts[k]) if w[1] != ids)
+                others = ((max(0.0, score - w[0]), w[1]) for w in self.paths(parts[k]) if w[1] != ids)
                 out.append((k, [(0.0, ids), *islice(others, n - 1)]))
         return out
 
@@ -229,24 +229,32 @@ class Lattice:
             out.append((score - loss, tuple(i for k, f in enumerate(found) for i in changed.get(k, f[1]))))
         return out
 
-    def scores(self, text: str | None, n: int) -> tuple[list[int], list[float]]:
-        """Ids of the best path, and the scores of the n best, without making the other paths."""
+    def scores(self, text: str | None, n: int) -> tuple[list[int], list[float], list[list[dict]], bool]:
+        """Ids of the best path, the scores of the n best, and what the others change in it (see ``changes``)."""
         parts, found = self.best(text)
         if not parts:
-            return [], []
+            return [], [], [], True
         score = float(sum([f[0] for f in found]))
-        return [i for f in found for i in f[1]], [score - x for x in self.losses([w for _, w in self.alternatives(parts, found, n)], n)]
-
-    @staticmethod
-    def losses(ways: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[float]:
-        """The n smallest sums of one loss from each list."""
-        out = [0.0]
-        for own in ways:
-            out = sorted(a + b for a in out for b, _ in own)[:n]
-        return out
+        at = np.append(0, np.cumsum([len(f[1]) for f in found]))
+        losses, others, good = self.changes([(int(at[k]), w) for k, w in sorted(self.alternatives(parts, found, n))], n)
+        return [i for f in found for i in f[1]], [score - x for x in losses], others, good
+
+    def changes(self, ways: list[tuple[int, list[tuple[float, tuple[int, ...]]]]], n: int) -> tuple[list[float], list[list[dict]], bool]:
+        """(the n smallest sums of one loss from each list, the changes of each path but the best, whether all stand for the same text).
+
+        ``ways``: the place of a segment's first piece in the best path, and the
+        segment's paths.  A change puts ``pieces`` for the ``n`` pieces from ``at`` on.
+        """
+        tops: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for _, own in ways:
+            tops = sorted((a + w[0], (*c, i)) for a, c in tops for i, w in enumerate(own))[:n]
+        others = [[{"at": at, "n": len(own[0][1]), "pieces": own[i][1]} for (at, own), i in zip(ways, c, strict=True) if i] for _, c in tops[1:]]
+        written = lambda ids: b"".join([self.text[i] for i in ids])
+        used = {(k, i) for _, c in tops[1:] for k, i in enumerate(c) if i}
+        return [x for x, _ in tops], others, all(written(ways[k][1][i][1]) == written(ways[k][1][0][1]) for k, i in used)
 
-    def batch(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """(ids of the best paths of all texts, their first places, scores of the n best of each).
+    def batch(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[list[dict]]], list[bool]]:
+        """(ids of the best paths of all texts, their first places, scores of the n best of each, changes of the others, whether these stand for the same text).
 
         Texts are cut into segments by a table of the neighbours that pieces
         span; each distinct segment is looked at once, the rest is array work.
@@ -278,20 +286,24 @@ class Lattice:
         cuts = np.zeros(len(size) + 1, dtype=np.int64)
         cuts[some + 1] = np.diff(total[word_at])
         tops: list[list[float]] = [[] for _ in size]
+        others: list[list[list[dict]]] = [[] for _ in size]
+        same = [True for _ in size]
         ways: dict[int, list] = {}
         for k, d in enumerate(some.tolist()):
             own = inverse[word_at[k] : word_at[k + 1]]
             best = float(score[own].sum())
             if n > 1:
                 near = np.argpartition(gap[own], n - 1)[: n - 1] if len(own) > n else np.arange(len(own))
-                few = [w for w in own[near].tolist() if gap[w] < np.inf]
-                for w in few:
+                few = [(j, w) for j, w in zip(near.tolist(), own[near].tolist(), strict=True) if gap[w] < np.inf]
+                for _, w in few:
                     if w not in ways:
                         ways[w] = self.alternatives([words[w]], [found[w]], n)[0][1]
-                tops[d] = [best - x for x in self.losses([ways[w] for w in few], n)]
+                at = total[word_at[k] : word_at[k + 1]] - total[word_at[k]]
+                losses, others[d], same[d] = self.changes([(int(at[j]), ways[w]) for j, w in sorted(few)], n)
+                tops[d] = [best - x for x in losses]
             else:
                 tops[d] = [best]
-        return ids, np.cumsum(cuts), tops
+        return ids, np.cumsum(cuts), tops, others, same
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path; undoes ``encode`` exactly."""
@@ -307,11 +319,12 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-_SCHEMA = "doc_id long, n_pieces long, score double, scores array<double>, round_trip boolean, pieces array<int>"
+_SCHEMA = "doc_id long, n_pieces long, score double, scores array<double>, round_trip boolean, pieces array<int>, others array<array<struct<at:int,n:int,pieces:array<int>>>>"
+_OTHERS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("pieces", pa.list_(pa.int32()))])))
 
 
 def encode_texts(docs: DataFrame, n_best: int = 4, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encodes every whole text: doc_id, n_pieces, score, scores (of the n best paths, fewer if there are fewer), round_trip (the best path decodes to the text), pieces.
+    """Encodes every whole text: doc_id, n_pieces, score, scores (of the n best paths, fewer if there are fewer), round_trip (every one of these paths decodes to the text), pieces (of the best path), others (of each further path the changes against the best; ``changed`` makes its pieces).
 
     Null and empty texts have no pieces, score 0 and no scores, and round_trip
     holds (null counts as empty).  Null ids and repeated rows are kept as they
@@ -327,20 +340,29 @@ def encode_texts(docs: DataFrame, n_best: int = 4, id_col: str = "doc_id", text_
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 if MARK.encode() in raw:  # texts that hold the mark itself go one by one
                     each = [coder.scores(t.decode(), n_best) for t in texts]
-                    tops = [x[1] for x in each]
+                    tops, others, same = ([x[j] for x in each] for j in (1, 2, 3))
                     ids = np.array([i for x in each for i in x[0]], dtype=np.int32)
                     cuts = np.append(0, np.cumsum([len(x[0]) for x in each]))
                 else:
-                    ids, cuts, tops = coder.batch(data, offsets, n_best)
-                good = [coder.decode_bytes(ids[a:b].tolist()) == t for a, b, t in zip(cuts[:-1], cuts[1:], texts, strict=True)]
+                    ids, cuts, tops, others, same = coder.batch(data, offsets, n_best)
+                good = [ok and coder.decode_bytes(ids[a:b].tolist()) == t for a, b, t, ok in zip(cuts[:-1], cuts[1:], texts, same, strict=True)]
                 pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
                 score = pa.array([t[0] if t else 0.0 for t in tops], pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(cuts), pa.int64()), score, pa.array(tops, pa.list_(pa.float64())), pa.array(good), pieces], ["doc_id", "n_pieces", "score", "scores", "round_trip", "pieces"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(cuts), pa.int64()), score, pa.array(tops, pa.list_(pa.float64())), pa.array(good), pieces, pa.array(others, _OTHERS)], ["doc_id", "n_pieces", "score", "scores", "round_trip", "pieces", "others"])
         coder.before = {}  # workers are used again by other stages
 
     return pick(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
 
 
+def changed(pieces: list[int], changes: list) -> list[int]:
+    """The pieces of a further path: those of the best with its changes (rows or dicts of at, n and pieces, in order)."""
+    out, done = [], 0
+    for c in changes:
+        out += [*pieces[done : c["at"]], *c["pieces"]]
+        done = c["at"] + c["n"]
+    return out + list(pieces[done:])
+
+
 def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str | None = None) -> DataFrame:
     """(doc_id, text) of encoded rows; null pieces give null text."""
     path = path or default_path()

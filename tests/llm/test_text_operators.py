@@ -199,6 +199,23 @@ def test_n_best_paths_equal_all_paths(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts + ODD))
 
 
+def test_n_best_paths_are_returned(spark):
+    """Every one of the n best paths comes out whole: another of each score, and each decodes to the text."""
+    lattice = pieces.lattice(pieces.default_path())
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("the anded  \n日éß.,x", k=rng.randint(1, 10))) for _ in range(60)]
+    texts += [" ".join(rng.choices(["the", "sand", "ended", "handed"], k=30)), f"the{pieces.MARK}anded the", ""]
+    for group in (texts[:-2], texts[-2:]):  # the mark in a text sends its neighbours another way
+        for r in pieces.encode_texts(frame(spark, group)).collect():
+            t = group[r.doc_id]
+            assert r.round_trip and len(r.others) == max(0, len(r.scores) - 1)
+            paths = [tuple(r.pieces), *(tuple(pieces.changed(r.pieces, c)) for c in r.others)]
+            assert len(set(paths)) == len(paths) and all(lattice.decode(list(p)) == t for p in paths)
+            if len(t) < 11 and pieces.MARK not in t:
+                score = {ids: x for x, ids in _paths(lattice, pieces.MARK + t.replace(" ", pieces.MARK))}
+                assert not t or [round(score[p], 3) for p in paths] == [round(x, 3) for x in r.scores]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert tokencount.token_counts(none).count() == licenses.scan_licenses(none).count() == pieces.encode_texts(none).count() == 0
