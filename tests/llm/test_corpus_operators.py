@@ -185,6 +185,14 @@ def test_language_model_is_a_distribution(spark):
     assert np.allclose(total[used], 1)
 
 
+def test_language_model_pairs_have_room():
+    """The pairs of history classes take more than 2,048 buckets: few enough share one."""
+    import numpy as np
+
+    pair = maxent.Weights.features(np.arange(maxent.HISTORY**2))[:, 3]
+    assert len(np.unique(pair)) > 3000 and pair.max() < len(maxent.Weights().w)
+
+
 def test_language_model_without_training(spark):
     docs = spark.createDataFrame([(0, "a b"), (1, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in maxent.score_texts(docs, F.lit(False), parts=2).collect()}
