@@ -27,9 +27,9 @@ NAMES = [
     ("cc-by", r"(?:cc|creative commons)[ -]by|creative commons attribution", "cc|creative"),
     ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc|zero|dedication"),
     ("agpl", r"(?:gnu )?affero general public licen[sc]e|agpl", "gpl|affero"),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", "gpl|general public"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", "gpl|general"),
     ("gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl", "documentation|gfdl"),
-    ("gpl", r"(?:gnu )?general public licen[sc]e|gpl", "gpl|general public"),
+    ("gpl", r"(?:gnu )?general public licen[sc]e|gpl", "gpl|general"),
     ("apache", r"apache (?:software )?licen[sc]e|asl", "apache|asl"),
     ("bsd-4-clause", r"(?:4|four)[ -]clause bsd|bsd[ -]4[ -]clause|original bsd", "bsd"),
     ("bsd-3-clause", r"(?:3|three)[ -]clause bsd|bsd[ -]3[ -]clause|(?:new|modified|revised) bsd", "bsd"),
@@ -45,7 +45,7 @@ NAMES = [
     ("zlib", r"zlib(?:/libpng)?", "zlib"),
     ("boost", r"boost software licen[sc]e|bsl", "boost|bsl"),
     ("unlicense", r"unlicen[sc]e", "unlicen"),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "wtfpl|what the"),
+    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "wtfpl|what"),
     ("python", r"python software foundation|psf", "python|psf"),
     ("openssl", r"openssl", "openssl"),
     ("postgresql", r"postgresql", "postgresql"),
@@ -70,18 +70,34 @@ TEMPLATES = [
 EXTRA = [
     ("reserved", 0.60, r"all[^a-z0-9]+rights[^a-z0-9]+reserved", "reserved"),
     ("copyright", 0.50, r"(?:copyright|\(c\)|©) *(?:\(c\)|©)? *(?:19|20)[0-9]{2}(?:[ ,-]+(?:19|20)[0-9]{2})*", "copyright|(c)|©"),
-    ("mit", 0.95, r"permission is hereby granted, free of charge, to any person", "hereby granted"),
+    ("mit", 0.95, r"permission is hereby granted, free of charge, to any person", "hereby"),
     ("bsd", 0.95, r"redistribution and use in source and binary forms", "redistribution"),
-    ("public-domain", 0.60, r"\b(?:in|into|to) the public domain\b", "public domain"),
-    ("warranty", 0.40, r"\b(?:without warranty of any kind|provided \"?as is\"?)", "warranty|as is"),
+    ("public-domain", 0.60, r"\b(?:in|into|to) the public domain\b", "domain"),
+    ("warranty", 0.40, r"\b(?:without warranty of any kind|provided \"?as is\"?)", "warranty|as"),
 ]
 
 
+#: What may stand for a blank of a pattern: line ends, indents and comment marks.
+GAP = r"\s*#/"
+
+
+def _spread(pattern: str) -> str:
+    """The pattern with words joined by runs of ``GAP``: of its blanks, and of its classes that hold a blank."""
+
+    def one(m: re.Match) -> str:
+        if " " not in m[1]:
+            return m[0]
+        own = f"[{GAP}]" if m[1] == " " else m[1].replace(" ", GAP)
+        return own + {"": "+", "?": "*"}.get(m[2], m[2])
+
+    return re.sub(r"(\[[^\]]*\]| )([?*+]?)", one, pattern)
+
+
 @lru_cache(1)
 def rules() -> list[tuple[str, float, re.Pattern, tuple[str, ...], tuple[str, ...]]]:
     """(label, strength, pattern, keywords of the sentence, of the name), most important first: every name in every sentence, then the others."""
     out = [(label, strength, pattern.format(n=name), frame, key) for strength, pattern, frame in TEMPLATES for label, name, key in NAMES] + [(*x, "") for x in EXTRA]
-    return [(label, strength, re.compile(pattern), tuple(filter(None, frame.split("|"))), tuple(filter(None, key.split("|")))) for label, strength, pattern, frame, key in out]
+    return [(label, strength, re.compile(_spread(pattern)), tuple(filter(None, frame.split("|"))), tuple(filter(None, key.split("|")))) for label, strength, pattern, frame, key in out]
 
 
 def detect(lowered: str) -> list[tuple[int, int, str, float]]:
