@@ -1,13 +1,16 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments of 16 bits, each with its own table.  A search
-probes the tables in turn with growing radius; after radius r in the first j of
-m segments (and r - 1 in the others) every code within m r + j - 1 bits has been
-met, so the search ends when the kth verified distance is not beyond that.
+A code is cut into segments, each with its own table.  A search probes the
+tables in turn with growing radius; after radius r in the first j + 1 of m
+segments (and r - 1 in the others) every code within m r + j bits has been met,
+so the search ends when the kth verified distance is not beyond that.  Segments
+are about log2(codes) bits wide, so that a bucket holds about one code and even
+a search that has to go through all radii probes no more than m times the codes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -19,21 +22,33 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import save
 
-#: Bits of a segment, codes of a shard, and tasks aimed at while there are few shards.
-BITS, SHARD, TASKS = 16, 200_000, 48
+#: Codes of a shard at most, shards aimed at while there are few codes, and codes from which one more shard pays.
+SHARD, TASKS, LEAST = 500_000, 16, 4_000
+#: Bits of a segment at most: a table has one slot for each of its values.
+WIDEST = 20
 
 
-@lru_cache
-def masks(radius: int) -> np.ndarray:
-    """All 16-bit patterns with ``radius`` bits set."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(BITS), radius)], dtype=np.uint16)
+@lru_cache(maxsize=512)
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All patterns of so many bits with ``radius`` of them set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], dtype=np.int64)
+
+
+def _ranges(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each range, one after the other."""
+    return np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 class MultiIndex:
-    """Tables over the distinct codes of a shard; ``ids`` of equal codes are kept together, ascending."""
+    """Tables over the distinct codes of a shard; ``ids`` of equal codes are kept together, ascending.
+
+    ``by_bound`` counts the searches that the radius bound ended, ``by_end``
+    those that had met every code before (as when there are fewer than k), and
+    ``probes`` and ``verified`` the slots looked at and the codes compared.
+    """
 
     def __init__(self, codes: np.ndarray, ids: np.ndarray):
-        """codes: (rows, bytes) of uint8; ids: of each row."""
+        """codes: (rows, bytes) of uint8, whole 64-bit words; ids: of each row."""
         packed = np.ascontiguousarray(codes).view([("", codes.dtype)] * codes.shape[1]).ravel()
         order = np.lexsort((ids, np.unique(packed, return_inverse=True)[1]))
         codes, self.ids = codes[order], ids[order]
@@ -41,53 +56,57 @@ class MultiIndex:
         new[1:] = (codes[1:] != codes[:-1]).any(1)
         first = np.flatnonzero(new)
         self.first = np.append(first, len(codes))
-        self.words = np.ascontiguousarray(codes[first]).view(np.uint64)
-        self.segments = np.ascontiguousarray(codes[first]).view(np.uint16)
-        self.n, self.m = self.segments.shape
-        self.order = [np.argsort(self.segments[:, j], kind="stable") for j in range(self.m)]
-        self.starts = [np.searchsorted(self.segments[o, j], np.arange((1 << BITS) + 1)) for j, o in enumerate(self.order)]
+        own = np.ascontiguousarray(codes[first])
+        self.words = own.view(np.uint64)
+        self.n = len(first)
+        width = 8 * codes.shape[1]
+        self.m = max(1, math.ceil(width / min(WIDEST, max(1, round(math.log2(max(2, self.n)))))))
+        self.cuts = [width * j // self.m for j in range(self.m + 1)]
+        self.order, self.starts = [], []
+        for j, column in enumerate(self.segments(own)):
+            self.order.append(np.argsort(column, kind="stable"))
+            self.starts.append(np.searchsorted(column[self.order[j]], np.arange((1 << (self.cuts[j + 1] - self.cuts[j])) + 1)))
+        self.by_bound = self.by_end = self.probes = self.verified = 0
+
+    def segments(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The value of each segment of each code."""
+        bits = np.unpackbits(codes, axis=1, bitorder="little")
+        return [bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a)) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def search(self, code: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest rows by distance, then id; rows with the id ``skip`` don't count."""
-        words, segments = code.view(np.uint64), code.view(np.uint16)
+        words, own = code.view(np.uint64), [int(s[0]) for s in self.segments(code[None, :])]
         met = np.zeros(self.n, dtype=bool)
         ids = np.zeros(0, dtype=np.int64)
         distances = np.zeros(0, dtype=np.int64)
-
-        def take(at: np.ndarray) -> None:
-            nonlocal ids, distances
-            d = np.bitwise_count(self.words[at] ^ words).sum(1).astype(np.int64)
-            if len(ids) == k:
-                near = d <= distances[-1]
-                at, d = at[near], d[near]
-            many = self.first[at + 1] - self.first[at]
-            flat = np.repeat(self.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            own, d = self.ids[flat], np.repeat(d, many)
-            if skip is not None:
-                own, d = own[own != skip], d[own != skip]
-            ids, distances = np.append(ids, own), np.append(distances, d)
-            best = np.lexsort((ids, distances))[:k]
-            ids, distances = ids[best], distances[best]
-
-        probes = 0
-        for radius in range(BITS + 1):
-            pattern = masks(radius)
+        left = self.n
+        for radius in range(max(np.diff(self.cuts)) + 1):
             for j in range(self.m):
-                probes += len(pattern)
-                if probes > self.n + 64:  # more probes than codes: looking at the rest is cheaper
-                    take(np.flatnonzero(~met))
-                    return ids, distances
-                slot = (segments[j] ^ pattern).astype(np.int64)
-                lo, hi = self.starts[j][slot], self.starts[j][slot + 1]
-                some = hi > lo
-                if some.any():
-                    lo, many = lo[some], (hi - lo)[some]
-                    at = self.order[j][np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                    at = at[~met[at]]
-                    if len(at):
-                        met[at] = True
-                        take(at)
+                slot = own[j] ^ masks(self.cuts[j + 1] - self.cuts[j], radius)
+                self.probes += len(slot)
+                lo = self.starts[j][slot]
+                at = self.order[j][_ranges(lo, self.starts[j][slot + 1] - lo)]
+                at = at[~met[at]]
+                if len(at):
+                    met[at] = True
+                    left -= len(at)
+                    self.verified += len(at)
+                    d = np.bitwise_count(self.words[at] ^ words).sum(1).astype(np.int64)
+                    if len(ids) == k:
+                        near = d <= distances[-1]
+                        at, d = at[near], d[near]
+                    many = self.first[at + 1] - self.first[at]
+                    found, d = self.ids[_ranges(self.first[at], many)], np.repeat(d, many)
+                    if skip is not None:
+                        found, d = found[found != skip], d[found != skip]
+                    ids, distances = np.append(ids, found), np.append(distances, d)
+                    best = np.lexsort((ids, distances))[:k]
+                    ids, distances = ids[best], distances[best]
                 if len(ids) == k and distances[-1] <= self.m * radius + j:
+                    self.by_bound += 1
+                    return ids, distances
+                if not left:
+                    self.by_end += 1
                     return ids, distances
         return ids, distances
 
@@ -131,20 +150,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     asked = binary_codes(queries, id_col, vector_col)
     n = codes.count()
     widths = codes.select(F.length("code").alias("w")).union(asked.select(F.length("code").alias("w"))).agg(F.max("w")).first()[0]
-    shards = max(1, -(-n // SHARD))
-    blocks = max(1, TASKS // shards)
+    shards = max(1, -(-n // SHARD), min(TASKS, n // LEAST))
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     index = codes.withColumn("_r", rank).where(F.col("_r") <= k + 1).drop("_r")
-    index = index.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(0).alias("kind"), "id", "code")
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.hash("id"), F.lit(blocks)).alias("part"), F.lit(1).alias("kind"), "id", "code")
+    index = index.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "code")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, index = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = batch.column(0).to_numpy() * blocks + batch.column(1).to_numpy()
-            kind, ids, code = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+            place, kind, ids, code = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             cuts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])))
             for a, b in zip(cuts, np.append(cuts[1:], len(place)), strict=True):
                 if place[a] != key:
@@ -163,7 +180,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 if sum(many):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], many)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))], ["query_id", "neighbor_id", "distance"])
 
-    both = index.union(asked).repartition(shards * blocks, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    both = index.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(run, "query_id long, neighbor_id long, distance int")
     last = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
