@@ -13,70 +13,16 @@ from pyspark.sql import DataFrame
 
 from geoloom.llm.bytewords import LOWER, NOT_WORD, chunks, word_spans
 from geoloom.llm.common import pick
+from geoloom.llm.license_rules import RULES
 
 #: Phrases whose places are always counted, as words of the lower-cased text, and their labels.
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
-#: (label, pattern of the license's name, keyword that any match contains). Order is priority: the more specific first.
-NAMES = [
-    ("cc-by-nc-nd", r"(?:cc|creative commons)[ -]by[ -]nc[ -]nd|attribution[ -]non-?commercial[ -]no-?derivatives|attribution[ -]non-?commercial[ -]noderivs", "cc|creative|attribution"),
-    ("cc-by-nc-sa", r"(?:cc|creative commons)[ -]by[ -]nc[ -]sa|attribution[ -]non-?commercial[ -]share-?alike", "cc|creative|attribution"),
-    ("cc-by-nc", r"(?:cc|creative commons)[ -]by[ -]nc|attribution[ -]non-?commercial", "cc|creative|attribution"),
-    ("cc-by-nd", r"(?:cc|creative commons)[ -]by[ -]nd|attribution[ -]no-?deriv(?:ative)?s", "cc|creative|attribution"),
-    ("cc-by-sa", r"(?:cc|creative commons)[ -]by[ -]sa|attribution[ -]share-?alike", "cc|creative|attribution"),
-    ("cc-by", r"(?:cc|creative commons)[ -]by|creative commons attribution", "cc|creative"),
-    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc|zero|dedication"),
-    ("agpl", r"(?:gnu )?affero general public licen[sc]e|agpl", "gpl|affero"),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", "gpl|general"),
-    ("gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl", "documentation|gfdl"),
-    ("gpl", r"(?:gnu )?general public licen[sc]e|gpl", "gpl|general"),
-    ("apache", r"apache (?:software )?licen[sc]e|asl", "apache|asl"),
-    ("bsd-4-clause", r"(?:4|four)[ -]clause bsd|bsd[ -]4[ -]clause|original bsd", "bsd"),
-    ("bsd-3-clause", r"(?:3|three)[ -]clause bsd|bsd[ -]3[ -]clause|(?:new|modified|revised) bsd", "bsd"),
-    ("bsd-2-clause", r"(?:2|two)[ -]clause bsd|bsd[ -]2[ -]clause|simplified bsd|freebsd", "bsd"),
-    ("bsd", r"bsd", "bsd"),
-    ("mit", r"mit|expat", "mit|expat"),
-    ("isc", r"isc|internet systems consortium", "isc|consortium"),
-    ("mpl", r"mozilla public licen[sc]e|mpl", "mozilla|mpl"),
-    ("epl", r"eclipse public licen[sc]e|epl", "eclipse|epl"),
-    ("eupl", r"european union public licen[sc]e|eupl", "european|eupl"),
-    ("cddl", r"common development and distribution licen[sc]e|cddl", "development|cddl"),
-    ("artistic", r"artistic licen[sc]e|perl artistic", "artistic"),
-    ("zlib", r"zlib(?:/libpng)?", "zlib"),
-    ("boost", r"boost software licen[sc]e|bsl", "boost|bsl"),
-    ("unlicense", r"unlicen[sc]e", "unlicen"),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "wtfpl|what"),
-    ("python", r"python software foundation|psf", "python|psf"),
-    ("openssl", r"openssl", "openssl"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("odbl", r"open database licen[sc]e|odbl", "database|odbl"),
-    ("ofl", r"sil open font|open font licen[sc]e|ofl", "font|ofl"),
-    ("ms-pl", r"microsoft public licen[sc]e|ms-pl", "microsoft|ms-pl"),
-    ("sspl", r"server side public licen[sc]e|sspl", "server|sspl"),
-    ("busl", r"business source licen[sc]e|busl", "business|busl"),
-    ("proprietary", r"proprietary|confidential", "proprietary|confidential"),
-]
-#: (strength, sentence in which a name stands, keywords of which any match holds one); the earlier, the stronger.
-TEMPLATES = [
-    (1.00, r"(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)*)?", "under"),
-    (0.95, r"(?:subject to|under the terms of|governed by|in accordance with) (?:the )?(?:{n})\b(?:[ ,-]*(?:license|licence))?", "subject|under|governed|accordance"),
-    (0.90, r"(?:{n})\b[ ,-]*(?:license|licence)?(?:,? (?:version |v)?[0-9]+(?:\.[0-9]+)+)", "0|1|2|3|4|5|6|7|8|9"),
-    (0.85, r"spdx-license-identifier:? *(?:{n})\b[a-z0-9.+-]*", "spdx"),
-    (0.80, r"(?:license|licence) *[:=] *[\"']?(?:{n})\b", "license|licence"),
-    (0.75, r"\b(?:{n})[ ,-]+(?:license|licence|licensed|terms)\b", "license|licence|terms"),
-    (0.70, r"\b(?:the )?(?:{n})\b(?= ?(?:\(|,|;|:)? ?(?:as published|or any later|or later|v[0-9]))", "published|later|v"),
-]
-#: Rules of their own: (label, strength, pattern, keyword).
-EXTRA = [
-    ("reserved", 0.60, r"all[^a-z0-9]+rights[^a-z0-9]+reserved", "reserved"),
-    ("copyright", 0.50, r"(?:copyright|\(c\)|©) *(?:\(c\)|©)? *(?:19|20)[0-9]{2}(?:[ ,-]+(?:19|20)[0-9]{2})*", "copyright|(c)|©"),
-    ("mit", 0.95, r"permission is hereby granted, free of charge, to any person", "hereby"),
-    ("bsd", 0.95, r"redistribution and use in source and binary forms", "redistribution"),
-    ("public-domain", 0.60, r"\b(?:in|into|to) the public domain\b", "domain"),
-    ("warranty", 0.40, r"\b(?:without warranty of any kind|provided \"?as is\"?)", "warranty|as"),
-]
-
-
+#: How much a detection of each kind is trusted, were it endlessly long.
+TRUST = {"tag": 1.0, "text": 1.0, "notice": 1.0, "name": 0.6}
+#: Words of a signature that give half of that trust.
+HALF = 2
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: What may stand for a blank of a pattern: line ends, indents and comment marks.
 GAP = r"\s*#/"
 
@@ -88,16 +34,32 @@ def _spread(pattern: str) -> str:
         if " " not in m[1]:
             return m[0]
         own = f"[{GAP}]" if m[1] == " " else m[1].replace(" ", GAP)
-        return own + {"": "+", "?": "*"}.get(m[2], m[2])
+        return own + {"": "++", "?": "*+"}.get(m[2], m[2])  # possessive: a long run of blanks is gone through once
+
+    return re.sub(r"(\[[^\]]*\]| )(\{[^}]*\}|[?*+]?)", one, pattern)
 
-    return re.sub(r"(\[[^\]]*\]| )([?*+]?)", one, pattern)
+
+@lru_cache(1)
+def rules() -> list[tuple[str, float, re.Pattern, str]]:
+    """(label, trust, pattern, keyword), most important first."""
+    return [(label, TRUST[kind], re.compile(_spread(pattern)), key) for label, kind, key, pattern in RULES]
 
 
 @lru_cache(1)
-def rules() -> list[tuple[str, float, re.Pattern, tuple[str, ...], tuple[str, ...]]]:
-    """(label, strength, pattern, keywords of the sentence, of the name), most important first: every name in every sentence, then the others."""
-    out = [(label, strength, pattern.format(n=name), frame, key) for strength, pattern, frame in TEMPLATES for label, name, key in NAMES] + [(*x, "") for x in EXTRA]
-    return [(label, strength, re.compile(_spread(pattern)), tuple(filter(None, frame.split("|"))), tuple(filter(None, key.split("|")))) for label, strength, pattern, frame, key in out]
+def _keywords() -> list[str]:
+    return sorted({r[3] for r in rules()})
+
+
+def strength(trust: float, matched: str) -> float:
+    """How strong the evidence of a detection is, measured by the words it covers."""
+    n = len(WORD.findall(matched))
+    return trust * n / (n + HALF)
+
+
+def found_by_rules(lowered: str) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of everything that a rule whose keyword occurs matches."""
+    held = {key: key in lowered for key in _keywords()}
+    return [(m.start(), m.end(), k) for k, (_, _, p, key) in enumerate(rules()) if held[key] for m in p.finditer(lowered) if m.end() > m.start()]
 
 
 def detect(lowered: str) -> list[tuple[int, int, str, float]]:
@@ -107,30 +69,15 @@ def detect(lowered: str) -> list[tuple[int, int, str, float]]:
     stands, an interval within a longer one falls, and of intervals that cross,
     those of higher priority stand.
     """
-    known: dict[str, bool] = {}
-
-    def holds(keys: tuple[str, ...]) -> bool:
-        for key in keys:
-            if key not in known:
-                known[key] = key in lowered
-            if known[key]:
-                return True
-        return not keys
-
-    found = []
-    for k, (label, strength, pattern, frame, keys) in enumerate(rules()):
-        if holds(frame) and holds(keys):
-            found += [(m.start(), -m.end(), k, label, strength) for m in pattern.finditer(lowered) if m.end() > m.start()]
-    if not found:
-        return []
-    found.sort()  # a container comes before what it holds, and of equal ones the more important
+    found = sorted((start, -end, k) for start, end, k in found_by_rules(lowered))
+    # a container comes before what it holds, and of equal ones the more important
     outer, reach = [], -1
     for x in found:
         if -x[1] > reach:
             outer.append(x)
             reach = -x[1]
     # what is left starts and ends in ascending order, so only neighbours can cross
-    kept: list[tuple[int, int, int, str, float]] = []
+    kept: list[tuple[int, int, int]] = []
     starts: list[int] = []
     for x in sorted(outer, key=lambda x: x[2]):
         i = bisect_left(starts, x[0])
@@ -138,7 +85,15 @@ def detect(lowered: str) -> list[tuple[int, int, str, float]]:
             continue
         kept.insert(i, x)
         starts.insert(i, x[0])
-    return [(start, -end, label, strength) for start, end, _, label, strength in kept]
+    return [(start, -end, rules()[k][0], strength(rules()[k][1], lowered[start:-end])) for start, end, k in kept]
+
+
+def score(spans: list[tuple[int, int, str, float]], base: list[str]) -> float:
+    """1 less the chance that every label's best detection is wrong; a base label that no detection gives counts 0.3."""
+    best: dict[str, float] = dict.fromkeys(base, 0.3)
+    for _, _, label, p in spans:
+        best[label] = max(best.get(label, 0.0), p)
+    return 1.0 - float(np.prod([1.0 - best[label] for label in sorted(best)])) if best else 0.0
 
 
 _KEY = {b"reserved": ("all", "rights", "reserved"), b"license": ("general", "public", "license"), b"cc": ("cc", "by")}
@@ -185,7 +140,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols["last_word"].append(max((x[0] for x in places), default=None))
                 cols["base_labels"].append(",".join(base))
                 cols["labels"].append(",".join(sorted({*base, *(x[2] for x in spans)})))
-                cols["score"].append(max([x[3] for x in spans] + [0.6] * bool(base), default=0.0))
+                cols["score"].append(score(spans, base))
                 cols["spans"].append([{"start": s, "end": e, "label": t, "strength": p} for s, e, t, p in spans])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("strength", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
@@ -199,8 +154,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns: doc_id, n_words (words of the text with A-Z lower-cased), n_base /
     first_word / last_word / base_labels (places of the phrases in ``BASE``),
-    labels (base ones and those of the rules), score (the strongest rule, 0 if
-    none) and spans (character intervals of the detections that stand).
+    labels (base ones and those of the rules), score (how strong all evidence
+    is, by the words it covers; 0 if there is none) and spans (character
+    intervals of the detections that stand, with their strength).
     Null and empty texts have 0 words, null places, empty labels and score 0;
     null ids and repeated rows are kept as they are; an empty table gives none.
     """

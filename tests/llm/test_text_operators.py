@@ -158,7 +158,8 @@ def test_license_places_against_words(spark):
 
 
 def test_license_overlaps():
-    assert [x[2] for x in licenses.detect("licensed under the apache license, version 2.0. all rights reserved")] == ["apache", "reserved"]
+    assert [x[2] for x in licenses.detect("licensed under the apache license, version 2.0. all rights reserved")] == ["apache-2.0", "reserved"]
+    assert [x[2] for x in licenses.detect("this is licensed under cc by-nc-sa 4.0")] == ["cc-by-nc-sa"]
     assert [x[2] for x in licenses.detect("this is licensed under cc by-nc-sa 4.0")] == ["cc-by-nc-sa"]
     assert licenses.detect("nothing of note") == []
 
@@ -166,7 +167,7 @@ def test_license_overlaps():
 def test_license_names_across_lines():
     """Names and sentences go on over line ends, indents and comment marks."""
     for gap in (" ", "\n", "\n * ", "\n    ", "\n# ", "\n// ", "\r\n\t"):
-        for text, label in [("licensed under the terms of the gnu general public license", "gpl"), ("released under the apache license, version 2.0", "apache"), ("under the terms of the mozilla public license", "mpl"), ("licensed under the gnu lesser general public license", "lgpl"), ("permission is hereby granted, free of charge, to any person", "mit")]:
+        for text, label in [("licensed under the terms of the gnu general public license", "gpl"), ("released under the apache license, version 2.0", "apache-2.0"), ("under the terms of the mozilla public license", "mpl"), ("licensed under the gnu lesser general public license", "lgpl"), ("permission is hereby granted, free of charge, to any person", "mit")]:
             text = text.replace(" ", gap)
             assert [x[:3] for x in licenses.detect(text)] == [(0, len(text), label)], text
 
