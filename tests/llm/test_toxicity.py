@@ -115,9 +115,9 @@ def test_defined_handling(spark):
     tests = spark.createDataFrame(rows, "doc_id long, text string, score int")
     got = toxicity.toxicity(tests, model).collect()
     assert len(got) == 6 and [r.predicted for r in got if r.doc_id is None] == [1]
-    assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id == 2}) == 1
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and [r.predicted for r in got if r.doc_id == 2] == [1, 1]
     kept = toxicity.without_toxic(tests, model)
-    assert kept.columns == ["doc_id", "text", "score"] and sorted(r.score for r in kept.collect()) == [2, 3, 4, 4, 5]
+    assert kept.columns == ["doc_id", "text", "score"] and sorted(r.score for r in kept.collect()) == [2, 3, 5]  # the long ones hold a term
     assert toxicity.without_toxic(tests.limit(0), model).collect() == []
     none = toxicity.learn(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert all(r.predicted == 0 for r in toxicity.toxicity(tests, none).collect())
