@@ -129,10 +129,13 @@ def _shingles(table_name: str, key: str, k: int) -> str:
 
 
 ORACLES["op5_decontaminate"] = f"""
-    WITH d AS ({_shingles("documents", "doc_id", 5)}), i AS ({_shingles("benchmark", "item_id", 5)}),
+    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+    own AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+    d AS ({_shingles("rows", "r", 5)}), i AS ({_shingles("own", "item_id", 5)}),
     n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
-    p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
-    SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+    p AS (SELECT r, item_id, count(*) AS m FROM d JOIN i USING (s) GROUP BY r, item_id),
+    q AS (SELECT doc_id, item_id, max(m) AS n_shared FROM p JOIN rows USING (r) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM q JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 ORACLES["op9_minhash_neardup"] = f"""
     WITH RECURSIVE d AS ({_shingles("documents", "doc_id", 3)}),

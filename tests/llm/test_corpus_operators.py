@@ -107,16 +107,54 @@ def test_contamination_equals_brute_force(spark, broadcast, monkeypatch):
             at = rng.randint(0, len(w))
             w[at:at] = cut
         docs.append((i, " ".join(w).upper() if i % 2 else " ".join(w)))
-    docs += [(500, None), (501, ""), (502, "lone"), (None, items[0][1])]
-    want = set()
-    for d, t in docs:
-        for i, q in items:
-            a, b = shingle_set(q, 5), shingle_set(t, 5)
-            if d is not None and i is not None and a and 100 * len(a & b) >= 80 * len(a):
-                want.add((d, i, len(a & b), len(a)))
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    rows = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()]
-    assert want and sorted(rows) == sorted(want)
+    long = "word " * 200_000 + items[3][1]
+    docs += [(500, None), (501, ""), (502, "lone"), (None, items[0][1]), (3, "lone"), (3, "lone"), (503, long), (504, items[5][1] + " " + items[5][1])]
+    first = {}
+    for i, q in items + [(4, "zz zz"), (4, "~ ~")]:  # of a repeated item the smallest text counts
+        if i is not None and q is not None:
+            first[i] = min(q, first.get(i, q))
+    want, bad = {}, set()
+    for k, (d, t) in enumerate(docs):
+        b = shingle_set(t, 5)
+        for i, q in first.items():
+            a = shingle_set(q, 5)
+            if d is not None and a and 100 * len(a & b) >= 80 * len(a):
+                bad.add(k)
+                want[d, i] = max(want.get((d, i), (0, 0)), (len(a & b), len(a)))
+    mine = spark.createDataFrame([(d, t, k, "x") for k, (d, t) in enumerate(docs)], "doc_id long, text string, item int, h string").repartition(3)
+    bench = spark.createDataFrame([(*x, "y") for x in items + [(4, "zz zz"), (4, "~ ~")]], "item_id long, text string, doc_id string")
+    rows = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(mine, bench).collect()]
+    assert want and sorted(rows) == sorted((*k, *v) for k, v in want.items())
+    left = decontaminate.without_contaminated(mine, bench)
+    assert left.columns == mine.columns and sorted(r["item"] for r in left.collect()) == [k for k in range(len(docs)) if k not in bad]
+    for a, b in ((mine.limit(0), bench), (mine, bench.limit(0))):
+        assert decontaminate.contaminated(a, b).collect() == [] and decontaminate.without_contaminated(a, b).count() == a.count()
+
+
+def test_sketches_gate_the_verification():
+    """Pairs that share no shingle of the item's sketch are not compared, and no pair at the threshold is lost."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 9, 40, 200)]
+    item, size, h, probe = [], [], [], []
+    for i, s in enumerate(sets):
+        s = s[np.argsort(decontaminate.mix(s))]
+        item += [i] * len(s)
+        size += [len(s)] * len(s)
+        h += list(s)
+        probe += list(np.arange(len(s)) < decontaminate.sketch_size(np.array([len(s)]), 80, 100)[0])
+    index = decontaminate.Index(np.array(item), np.array(size), np.array(h, dtype=np.uint64), np.array(probe))
+    assert len(index.parts) == 5 and sum(len(p[0]) for p in index.parts) == sum(probe) < len(h)
+    for i, s in enumerate(sets):
+        for share in (0.5, 0.8, 1.0):
+            for _ in range(30):
+                own = np.sort(rng.permutation(s)[: int(np.ceil(share * len(s)))])
+                d, p = index.candidates(own, np.zeros(len(own), dtype=np.int64))
+                sketch = {int(x) for x, y, k in zip(h, probe, item) if y and k == i}
+                assert (i in p.tolist()) == bool(sketch & {int(x) for x in own})
+                found = index.search(own, np.zeros(len(own), dtype=np.int64), np.array([0, len(own)]), 80, 100)
+                assert found[1].tolist() == ([i] if 5 * len(own) >= 4 * len(s) else [])
 
 
 @pytest.mark.parametrize("dim,shard", [(64, 200_000), (100, 40)])
