@@ -55,6 +55,16 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Ids that are broadcast at most (8 bytes each).
+FEW = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, stored, to be broadcast if there are few, so that what they are joined with needs no shuffle."""
+    ids = save(ids)
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) pairs of longs: (id, component), the component being its smallest id.
 

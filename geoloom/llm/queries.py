@@ -138,12 +138,13 @@ ORACLES["op5_decontaminate"] = f"""
     SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM q JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 ORACLES["op9_minhash_neardup"] = f"""
-    WITH RECURSIVE d AS ({_shingles("documents", "doc_id", 3)}),
+    WITH RECURSIVE own AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id),
+    d AS ({_shingles("own", "doc_id", 3)}),
     n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
     link AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 85 * (a.n + b.n - m)),
     reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.y, reach.c FROM reach JOIN link ON reach.id = link.x),
-    own AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+    best AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
     SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept
-    FROM documents JOIN own ON own.id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+    FROM documents JOIN best ON best.id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
 """

@@ -10,16 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import save
+from geoloom.llm.common import few, save
 from geoloom.llm.decontaminate import without_contaminated
 from geoloom.llm.neardup import near_duplicates
 from geoloom.llm.toxicity import Model, learn, without_toxic
 
 
-#: Ids that are broadcast at most (8 bytes each).
-FEW = 1_000_000
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, model: Model | None = None, cut: float = 0.7) -> DataFrame:
     """Documents whose toxicity score is below ``cut``; decided row by row, without a shuffle."""
     model = model or learn(train if train is not None else docs, labels)
@@ -30,27 +26,21 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """One document of each near-duplicate group: the one of the smallest id.
 
     Rows with a null id, and null or blank texts, are in no group and stay; of
-    rows that repeat an id the one of the smallest text stays (a null one before
+    rows that repeat an id the one of the smallest text stays (a null one after
     all); an empty table stays empty.
     """
     groups = save(near_duplicates(docs, **parameters).where("doc_id is not null"))
-    out = docs.join(_few(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct()), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    out = docs.join(few(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct()), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
     repeated = save(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
     if repeated.limit(1).count() == 0:
         return out
-    alone = out.join(_few(repeated), out["doc_id"].cast("long") == F.col("_id"), "left_anti")
-    several = out.join(_few(repeated), out["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("text").asc_nulls_first()))
+    alone = out.join(few(repeated), out["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    several = out.join(few(repeated), out["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("text").asc_nulls_last()))
     packed = several.select(F.struct(*several.columns).alias("_row"), rank.alias("_rank")).where("_rank = 1")
     return alone.unionByName(packed.select(*(F.col("_row").getField(c).alias(c) for c in several.columns)))
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """The ids, to be broadcast if there are few, so that texts need no shuffle."""
-    ids = save(ids)
-    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """Documents that hold no benchmark item; see ``without_contaminated``."""
     return without_contaminated(docs, items, **parameters)

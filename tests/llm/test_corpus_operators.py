@@ -68,9 +68,17 @@ def test_components(spark):
 def test_near_duplicates_equal_brute_force(spark, k, num, block, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET", block)
     if block == 4:
-        monkeypatch.setattr(neardup, "CLUSTER", 200)
+        monkeypatch.setattr(neardup, "CLUSTER", 400)
+        monkeypatch.setattr(neardup, "HUB", 3)
+    rng = random.Random(5)
+    hot = prose(rng, 60)  # a large group: near copies in a chain and around a centre, and a few that only some of them reach
     texts = corpus()
-    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, texts[0], 0), (3, texts[3], 1)]
+    for j in range(60):
+        w = list(hot)
+        for x in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3])):
+            w[x] = "changed" + str(rng.randrange(5))
+        texts.append(" ".join(w[: rng.choice([60, 60, 55, 50])]))
+    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, texts[0], 0), (3, texts[3], 1), (5, "~" + texts[0], 1), (5, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(3)
     sets = [shingle_set(t, k) for t in texts]
     label = list(range(len(texts)))
