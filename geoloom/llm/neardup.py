@@ -341,7 +341,7 @@ def _close_pairs(met: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
 def _linked_first(rows: DataFrame, close: DataFrame, verify) -> DataFrame:
     """The close pairs that are links, on the full sets; the text of a document with many pairs goes to several tasks."""
     many = close.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") > HUB).select("b", F.ceil(F.col("_n") / HUB).cast("long").alias("_parts"))
-    spread = close.join(many, "b", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("_parts"))).otherwise(F.lit(0)))
+    spread = close.join(few(many), "b", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("_parts"))).otherwise(F.lit(0)))
     hub = rows.join(spread.select(F.col("b").alias("_id"), "_part").distinct(), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("b"), "_part", F.col("text").alias("tb"))
     left = rows.join(spread.select("a", "b", "_part"), F.col("doc_id") == F.col("a")).select("a", "b", "_part", F.col("text").alias("ta"))
     return left.join(hub, ["b", "_part"]).select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
