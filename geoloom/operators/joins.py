@@ -92,18 +92,31 @@ def _cells(df: DataFrame, size: float, others: list[int], point: bool) -> DataFr
     return df.withColumn("_cx", F.explode(F.sequence(at(b["xmin"]), at(b["xmax"])))).withColumn("_cy", F.explode(F.sequence(at(b["ymin"]), at(b["ymax"]))))
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int], size_of: tuple[int, int], points: tuple[bool, bool]) -> DataFrame:
+def _tiny(left: DataFrame, right: DataFrame) -> int | None:
+    """Which side has ``TINY`` rows of few bytes at most; looks at no more rows than that tells."""
+    for k, df in enumerate((left, right)):
+        width = _width(df.schema["_row"].dataType, F.col("_row"))
+        if width is not None:
+            some = df.limit(TINY + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+            if some.n <= TINY and (some.bytes or 0) <= SMALL_BYTES:
+                return k
+    return None
+
+
+def _pairs(left: DataFrame, right: DataFrame, points: tuple[bool, bool]) -> DataFrame:
     """Pairs of the columns of both sides (left prefixed l., right r.) whose boxes meet, each once."""
     # plain columns for the boxes: comparisons on fields of structs are several times slower
     sides_of = [F.col(f"_box.{f}").alias(f"_{f}") for f in ("xmin", "ymin", "xmax", "ymax")]
     some = [df.where(F.col("_box.xmin").isNotNull()).select("*", *sides_of) for df in (left, right)]
     c = F.col
     boxes_meet = (c("l._xmin") <= c("r._xmax")) & (c("r._xmin") <= c("l._xmax")) & (c("l._ymin") <= c("r._ymax")) & (c("r._ymin") <= c("l._ymax"))
-    side = 0 if rows[0] < rows[1] else 1
-    if rows[side] <= TINY and size_of[side] <= SMALL_BYTES:
+    tiny = _tiny(left, right)
+    if tiny is not None:
         l, r = some[0].alias("l"), some[1].alias("r")
-        l, r = (F.broadcast(l), r) if side == 0 else (l, F.broadcast(r))
+        l, r = (F.broadcast(l), r) if tiny == 0 else (l, F.broadcast(r))
         return l.join(r, boxes_meet)
+    size, rows, size_of = _grid(left, right)
+    side = 0 if rows[0] < rows[1] else 1
     sides = [df.withColumn("_level", F.lit(0) if p else _levels(df, size)) for df, p in zip(some, points, strict=True)]
     levels = [[0] if p else [r[0] for r in s.select("_level").distinct().collect()] for s, p in zip(sides, points, strict=True)]  # at most about 30
     if not all(levels):
@@ -121,33 +134,53 @@ def _pairs(left: DataFrame, right: DataFrame, size: float, rows: tuple[int, int]
     return l.join(r, meet if any(points) else meet & corner)
 
 
-def _packed(df: DataFrame, geom: str, boxed: Column) -> DataFrame:
-    return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), boxed.alias("_box"), df[geom].alias("_geom"))
+def _packed(df: DataFrame, geom: str, boxed: Column, **more: Column) -> DataFrame:
+    """The frame's rows as one column, so that no name of the user's columns matters."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), boxed.alias("_box"), df[geom].alias("_geom"), *(c.alias(n) for n, c in more.items()))
 
 
-def _unpacked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """All columns of both sides; those of the right whose name the left has get the suffix _right."""
-    taken = set(left.columns)
-    cols = [F.col("l._row").getField(c).alias(c) for c in left.columns]
-    cols += [F.col("r._row").getField(c).alias(f"{c}_right" if c in taken else c) for c in right.columns]
-    return pairs.select(*cols)
+def _fields(row: str, names: list[str], taken: list[str]) -> list[Column]:
+    """The columns of a packed row; names that are taken get the suffix _right, as often as needed."""
+    out, used = [], {t.lower() for t in taken}
+    for c in names:
+        name = c
+        while name.lower() in used:
+            name += "_right"
+        used.add(name.lower())
+        out.append(F.col(row).getField(c).alias(name))
+    return out
 
 
-def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column | None, how: str, grown: bool = False) -> DataFrame:
-    if how != "inner":
-        left = stored(left.withColumn("_id", F.monotonically_increasing_id()))
-        inner = _join(left, right, lg, rg, boxes, condition, "inner", grown)
-        if how in ("left_semi", "left_anti"):
-            return left.join(inner.select("_id").distinct(), "_id", how).drop("_id")
-        if how == "left":
-            own = [c for c in inner.columns if c not in left.columns]
-            return left.join(inner.select("_id", *own), "_id", "left").drop("_id")
+def _join(left: DataFrame, right: DataFrame, lg: str, rg: str, boxes: tuple[Boxed, Boxed], condition: Column | None, how: str, grown: bool = False, **more: Column) -> DataFrame:
+    if how == "right":
+        raise ValueError("turn the sides round and join left")
+    kinds = {"inner", "left", "left_semi", "left_anti", "full"}
+    if how not in kinds:
         raise ValueError(f"no spatial join of type {how}")
-    a, b = _packed(left, lg, boxes[0](left)), _packed(right, rg, boxes[1](right))
-    size, rows, size_of = _grid(a, b)
+    a, b = _packed(left, lg, boxes[0](left), **more), _packed(right, rg, boxes[1](right))
+    if how != "inner":
+        a = stored(a.withColumn("_id", F.monotonically_increasing_id()))
+    if how == "full":
+        b = stored(b.withColumn("_id", F.monotonically_increasing_id()))
     points = (kind_of(left, lg) == "point" and not grown, kind_of(right, rg) == "point")
-    pairs = _pairs(a, b, size, rows, size_of, points)
-    return _unpacked(pairs if condition is None else pairs.where(condition), left, right)
+    pairs = _pairs(a, b, points)
+    pairs = pairs if condition is None else pairs.where(condition)
+    own, other = _fields("l._row", left.columns, []), _fields("r._row", right.columns, left.columns)
+    if how == "inner":
+        return pairs.select(*own, *other)
+    l = a.alias("l")
+    if how in ("left_semi", "left_anti"):
+        met = pairs.select(F.col("l._id").alias("_met")).distinct()
+        return l.join(met, F.col("l._id") == F.col("_met"), how).select(*own)
+    met = pairs.select(F.col("l._id").alias("_met"), F.col("r._row").alias("_row"), *([F.col("r._id").alias("_rid")] if how == "full" else [])).alias("r")
+    if how == "full":
+        met = stored(met).alias("r")
+    out = l.join(met, F.col("l._id") == F.col("r._met"), "left").select(*own, *other)
+    if how == "left":
+        return out
+    alone = b.alias("r").join(met.select(F.col("_rid")).distinct(), F.col("r._id") == F.col("_rid"), "left_anti")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields]
+    return out.unionByName(alone.select(*empty, *other))
 
 
 #: Predicates and kinds for which the meeting of the boxes is the answer.
@@ -157,8 +190,10 @@ SAID_BY_BOXES = {("contains", "rect", "point"), ("within", "point", "rect"), ("i
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: str = "geom", right_geom: str = "geom", how: str = "inner", compat: bool = False) -> DataFrame:
     """Pairs for which predicate(left, right) holds; predicates: contains, within, intersects, overlaps, touches, equals, crosses.
 
+    All columns of both sides come out; those of the right whose name the left
+    has get the suffix _right.
     ``contains`` means covers and ``within`` covered by.  ``how``: inner, left,
-    left_semi, left_anti.  With ``compat``, predicates other than intersects and
+    full, left_semi, left_anti.  With ``compat``, predicates other than intersects and
     touches run as covers, those two as intersects, as the legacy join did.
     Null and empty geometries join with nothing.
     """
@@ -174,14 +209,11 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geom: s
 def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Column, left_geom: str = "geom", right_geom: str = "geom", strict: bool = False, how: str = "inner") -> DataFrame:
     """Pairs at a distance of at most ``radius`` (less, if strict): a number, or a column of the left side."""
     r = F.lit(float(radius)) if isinstance(radius, (int, float)) else N.col(radius)
-    left = left.withColumn("_radius", r)
     kinds = (kind_of(left, left_geom), kind_of(right, right_geom))
     d = distance(F.col("l._geom"), F.col("r._geom"), kinds)
-    limit = F.col("l._row._radius")
-    condition = d < limit if strict else d <= limit
-    boxes = (lambda df: N.grow(box(df, left_geom), F.col("_radius")), lambda df: box(df, right_geom))
-    out = _join(left, right, left_geom, right_geom, boxes, condition, how, grown=True)
-    return out.drop("_radius")
+    condition = d < F.col("l._radius") if strict else d <= F.col("l._radius")
+    boxes = (lambda df: N.grow(box(df, left_geom), r), lambda df: box(df, right_geom))
+    return _join(left, right, left_geom, right_geom, boxes, condition, how, grown=True, _radius=r)
 
 
 def count_by_key(joined: DataFrame, *keys: str) -> DataFrame:
@@ -238,9 +270,9 @@ def knn_join(queries: DataFrame, objects: DataFrame, k: int, query_id: str, obje
     both = q.select(box(q, "geom").alias("b")).union(o.select(box(o, "geom").alias("b")))
     s = both.agg(F.min("b.xmin").alias("x0"), F.min("b.ymin").alias("y0"), F.max("b.xmax").alias("x1"), F.max("b.ymax").alias("y1")).first()
     n = o.count()
-    schema = queries.select(F.col(query_id).alias("query_id")).crossJoin(objects.select(F.col(object_id).alias("object_id")).limit(0)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0)
     if s.x0 is None or not n:
-        return schema
+        kind = T.StructType([T.StructField("query_id", q.schema["_q"].dataType), T.StructField("object_id", o.schema["_o"].dataType), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return queries.sparkSession.createDataFrame([], kind)
     w, h = max(s.x1 - s.x0, 1e-9), max(s.y1 - s.y0, 1e-9)
     whole = math.hypot(w, h)
     radius = min(math.sqrt(2.0 * k * w * h / (math.pi * n)), whole)

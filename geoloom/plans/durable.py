@@ -5,21 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes the frame once and reads it back, so that what depends on row ids is computed a single time.
-
-    The folder is ``spark.checkpoint.dir``; a temporary one only in local mode
-    where that is unset.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; below a temporary folder only in local mode where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="geoloom-")
-    path = f"{at}/geoloom-spatial/{uuid.uuid4().hex}"
+    return f"{at}/geoloom-spatial/{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one small file to any store Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes the frame once and reads it back, so that what depends on row ids is computed a single time."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
