@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.functions import native as N
+from geoloom.functions.fast import read_boxes
 from geoloom.functions.kernels import FUNCTIONS, batched
 from geoloom.kernel.geometry import POLYGON, Geom, bbox, from_wkb, leaves, point, to_wkb
 from geoloom.kernel.overlay import OUTSIDE, covers, locate_point
@@ -31,6 +32,9 @@ def kind_of(df: DataFrame, name: str) -> str:
 
 
 def _boxes(g: pd.Series) -> pd.DataFrame:
+    found = read_boxes(g)
+    if found is not None:
+        return pd.DataFrame(found, columns=["xmin", "ymin", "xmax", "ymax"])
     boxes = [None if x is None else bbox(from_wkb(bytes(x))) for x in g]
     return pd.DataFrame([b or (None,) * 4 for b in boxes], columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 

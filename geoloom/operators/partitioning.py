@@ -7,6 +7,7 @@ comparisons, so that placing a row needs no Python.
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass
 
@@ -39,16 +40,22 @@ class Cells:
 
     rects: list[Rect]
 
+    def _all(self) -> Column:
+        """The cells as one constant, so that the plan's size does not depend on their number."""
+        text = json.dumps([{"k": k, "x0": r[0], "y0": r[1], "x1": r[2], "y1": r[3]} for k, r in enumerate(self.rects)])
+        return F.from_json(F.lit(text), "array<struct<k:int,x0:double,y0:double,x1:double,y1:double>>")
+
     def id_of(self, x: Column, y: Column) -> Column:
-        out = F.lit(None).cast("int")
-        for k, (x0, y0, x1, y1) in enumerate(self.rects):
-            out = F.when((x >= x0) & (x < x1) & (y >= y0) & (y < y1), k).otherwise(out)
-        return out
+        return F.get(F.filter(self._all(), lambda c: (x >= c["x0"]) & (x < c["x1"]) & (y >= c["y0"]) & (y < c["y1"])), F.lit(0))["k"]
 
     def ids_of(self, b: Column) -> Column:
         """All cells that a box meets."""
-        hits = [F.when((b["xmin"] < x1) & (b["xmax"] >= x0) & (b["ymin"] < y1) & (b["ymax"] >= y0), F.lit(k)) for k, (x0, y0, x1, y1) in enumerate(self.rects)]
-        return F.array_compact(F.array(*hits))
+        met = F.filter(self._all(), lambda c: (b["xmin"] < c["x1"]) & (b["xmax"] >= c["x0"]) & (b["ymin"] < c["y1"]) & (b["ymax"] >= c["y0"]))
+        return F.transform(met, lambda c: c["k"])
+
+    def owner_of(self, a: Column, b: Column) -> Column:
+        """The one cell that speaks for two boxes that meet: that of their common part's lower left corner."""
+        return self.id_of(F.greatest(a["xmin"], b["xmin"]), F.greatest(a["ymin"], b["ymin"]))
 
 
 INF = float("inf")
@@ -131,8 +138,9 @@ def build(df: DataFrame, geom: str, kind: str, partitions: int, seed: int = 7) -
     if kind == "equalgrid":
         return equal_grid(partitions, bounds)
     want = min(SAMPLE, sample_size(s.n, partitions))
-    part = b if want >= s.n else b.sample(fraction=min(1.0, 1.2 * want / s.n), seed=seed)
-    points = [(r.b.xmin, r.b.ymin) for r in part.limit(SAMPLE).collect()]
+    # the rows of smallest hash: neither the files' order nor their cut plays a part
+    part = b if want >= s.n else b.orderBy(F.xxhash64("b", F.lit(seed)), "b").limit(want)
+    points = [(r.b.xmin, r.b.ymin) for r in part.collect()]
     random.Random(seed).shuffle(points)
     if kind == "kdbtree":
         return kdb_tree(points, partitions)
@@ -144,10 +152,12 @@ def build(df: DataFrame, geom: str, kind: str, partitions: int, seed: int = 7) -
 def partition(df: DataFrame, geom: str = "geom", kind: str = "kdbtree", partitions: int = 16, cells: Cells | None = None) -> tuple[DataFrame, Cells]:
     """The rows with ``cell_id``, dealt out by it; extended geometries appear in every cell they meet.
 
-    Pass the cells of one side to place the other side alike.
+    Pass the cells of one side to place the other side alike.  A column that is
+    called cell_id already is replaced.
     """
     cells = cells or build(df, geom, kind, partitions)
-    placed = df.withColumn("_b", box(df, geom)).withColumn("cell_id", F.explode(cells.ids_of(F.col("_b")))).drop("_b")
+    packed = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), box(df, geom).alias("_box"))
+    placed = packed.select("_row", F.explode(cells.ids_of(F.col("_box"))).alias("cell_id")).select(*(F.col("_row").getField(c).alias(c) for c in df.columns if c != "cell_id"), "cell_id")
     return placed.repartition(len(cells.rects), "cell_id"), cells
 
 

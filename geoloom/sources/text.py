@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -109,20 +108,12 @@ def read_geojson(spark: SparkSession, path: str, allow_invalid: bool = True, ski
     """(geom, id, properties map) of one Feature or geometry a line; null property values become "null"."""
     df = _lines(spark, path, partitions).where(F.length(F.trim("value")) > 0)
 
-    @F.udf("struct<id:string,properties:map<string,string>>")
-    def about(s: str):
-        try:
-            d = json.loads(s)
-        except ValueError:
-            return None
-        if d.get("type") != "Feature":
-            return (None, {})
-        own = d.get("properties") or {}
-        text = lambda v: "null" if v is None else v if isinstance(v, str) else json.dumps(v)
-        return (None if d.get("id") is None else text(d["id"]), {k: text(v) for k, v in own.items()})
-
-    out = _parsed(df.withColumn("_a", about("value")), F.col("value"), from_geojson, allow_invalid, skip_errors, flatten)
-    return out.select("geom", F.col("_a.id").alias("id"), F.col("_a.properties").alias("properties"))
+    kind = F.get_json_object("value", "$.type") == "Feature"
+    id_ = F.when(kind, F.get_json_object("value", "$.id"))
+    own = F.from_json(F.get_json_object("value", "$.properties"), "map<string,string>")
+    properties = F.when(kind, F.transform_values(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(v, F.lit("null")))).otherwise(F.create_map().cast("map<string,string>"))
+    out = _parsed(df.select("value", id_.alias("id"), properties.alias("properties")), F.col("value"), from_geojson, allow_invalid, skip_errors, flatten)
+    return out.select("geom", "id", "properties")
 
 
 def read_mapped(spark: SparkSession, path: str, mapper: Callable[[str], list[Geom]], partitions: int | None = None) -> DataFrame:

@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import native as N
+from geoloom.operators.joins import _levels, _width
 
-#: Grid rows of the static side that may be broadcast.
-STATIC_ROWS = 200_000
+#: Rows and bytes of the static side that may be broadcast.
+STATIC_ROWS, STATIC_BYTES = 200_000, 64_000_000
 
 
 def fence(points: DataFrame, rects: DataFrame, cell: float, geom: str = "geom", rect_geom: str = "geom") -> DataFrame:
-    """Pairs of points (stream or table) and static rectangles that cover them: an equi-join on one grid's cells, without state."""
-    at = lambda v: F.floor(v / F.lit(float(cell))).cast("long")
-    r = rects.select(F.struct(*rects.columns).alias("fence"), rects[rect_geom].alias("_r"))
-    r = r.withColumn("_cx", F.explode(F.sequence(at(F.col("_r.xmin")), at(F.col("_r.xmax"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("_r.ymin")), at(F.col("_r.ymax")))))
-    if r.limit(STATIC_ROWS + 1).count() <= STATIC_ROWS:
+    """Pairs of points (stream or table) and static rectangles that cover them: an equi-join on cells, without state.
+
+    A rectangle lies on the level whose cells (``cell`` times a power of two) are
+    as long as its longer side, so in four cells at most, however large it is; a
+    point is looked up on every level that some rectangle has.
+    """
+    size = float(cell)
+    r = rects.select(F.struct(*(rects[c] for c in rects.columns)).alias("fence"), rects[rect_geom].alias("_box")).where("_box is not null")
+    r = r.withColumn("_l", _levels(r, size))
+    levels = sorted(x[0] for x in r.select("_l").distinct().collect()) or [0]  # at most about 60
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("_l"))
+    at = lambda v: F.floor(v / step).cast("long")
+    r = r.withColumn("_cx", F.explode(F.sequence(at(F.col("_box.xmin")), at(F.col("_box.xmax"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("_box.ymin")), at(F.col("_box.ymax")))))
+    width = _width(r.schema["fence"].dataType, F.col("fence"))
+    some = r.limit(STATIC_ROWS + 1).agg(F.count("*").alias("n"), (F.lit(None).cast("long") if width is None else F.sum(width)).alias("bytes")).first()
+    if some.n <= STATIC_ROWS and width is not None and (some.bytes or 0) <= STATIC_BYTES:
         r = F.broadcast(r)
-    p = points.withColumn("_cx", at(points[geom]["x"])).withColumn("_cy", at(points[geom]["y"]))
-    return p.join(r, ["_cx", "_cy"]).where(N.rect_covers_point(F.col("_r"), F.col(geom))).drop("_cx", "_cy", "_r")
+    p = points.select(F.struct(*(points[c] for c in points.columns)).alias("_row"), points[geom].alias("_p"), *([] if len(levels) > 1 else [F.lit(levels[0]).alias("_l")]), *([F.explode(F.array(*map(F.lit, levels))).alias("_l")] if len(levels) > 1 else []))
+    p = p.withColumn("_cx", at(F.col("_p.x"))).withColumn("_cy", at(F.col("_p.y")))
+    met = p.join(r, ["_l", "_cx", "_cy"]).where(N.rect_covers_point(F.col("_box"), F.col("_p")))
+    return met.select(*(F.col("_row").getField(c).alias(c) for c in points.columns), "fence")
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
