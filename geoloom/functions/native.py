@@ -101,6 +101,31 @@ def rect_point_distance(r: Column, p: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def circle(centre: Column, radius: ColumnOrName | float) -> Column:
+    """Struct (x, y, r) of a point and a radius of at least 0."""
+    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else col(radius).cast("double")
+    return F.when(r >= 0, F.struct(centre["x"].alias("x"), centre["y"].alias("y"), r.alias("r")))
+
+
+def circle_box(c: Column) -> Column:
+    return F.struct((c["x"] - c["r"]).alias("xmin"), (c["y"] - c["r"]).alias("ymin"), (c["x"] + c["r"]).alias("xmax"), (c["y"] + c["r"]).alias("ymax"))
+
+
+def circle_covers_point(c: Column, p: Column) -> Column:
+    return distance(c, p) <= c["r"]
+
+
+def circle_covers_rect(c: Column, b: Column) -> Column:
+    """All of a rectangle lies in the circle if its farthest corner does."""
+    dx = F.greatest(F.abs(b["xmin"] - c["x"]), F.abs(b["xmax"] - c["x"]))
+    dy = F.greatest(F.abs(b["ymin"] - c["y"]), F.abs(b["ymax"] - c["y"]))
+    return F.sqrt(dx * dx + dy * dy) <= c["r"]
+
+
+def circle_intersects_rect(c: Column, b: Column) -> Column:
+    return rect_point_distance(b, c) <= c["r"]
+
+
 def azimuth(p: Column, q: Column) -> Column:
     """Radians clockwise from north, from 0 to 2 pi."""
     a = F.atan2(q["x"] - p["x"], q["y"] - p["y"])
@@ -213,6 +238,30 @@ def pixel(p: Column, res_x: int, res_y: int, box: tuple[float, float, float, flo
     return F.when(inside, F.struct(px.alias("x"), py.alias("y"), F.lit(res_x).alias("res_x"), F.lit(res_y).alias("res_y")))
 
 
+def pixel_id(px: Column) -> Column:
+    """A pixel's place in its picture as one number: row by row."""
+    return px["x"].cast("long") + px["y"].cast("long") * px["res_x"]
+
+
+def pixel_of(number: ColumnOrName, res_x: int, res_y: int) -> Column:
+    """The pixel of such a number."""
+    n = col(number).cast("long")
+    return F.struct((n % res_x).cast("int").alias("x"), F.floor(n / res_x).cast("int").alias("y"), F.lit(res_x).alias("res_x"), F.lit(res_y).alias("res_y"))
+
+
+def flipped_pixel(px: Column) -> Column:
+    """The pixel with its rows counted from the other side."""
+    return F.struct(px["x"].alias("x"), (px["res_y"] - 1 - px["y"]).alias("y"), px["res_x"].alias("res_x"), px["res_y"].alias("res_y"))
+
+
+def tile_of_lineage(lineage: ColumnOrName) -> Column:
+    """zoom-x-y of a path of quarters, a digit a level: 1 for the right half, 2 for the lower one."""
+    digits = F.split(col(lineage), "")
+    start = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))
+    step = lambda a, d: F.struct((a["x"] * 2 + d.cast("int") % 2).alias("x"), (a["y"] * 2 + F.floor(d.cast("int") / 2).cast("int")).alias("y"))
+    return F.aggregate(digits, start, step, lambda a: F.concat_ws("-", F.length(col(lineage)).cast("string"), a["x"].cast("string"), a["y"].cast("string")))
+
+
 def tile_name(px: Column, zoom: int) -> Column:
     """zoom-x-y of the tile that holds a pixel; rows of tiles count from the top."""
     n = 1 << zoom

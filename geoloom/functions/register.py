@@ -52,11 +52,32 @@ def _aggregate(fold):
     return pandas_udf(run, "binary")
 
 
+def _render():
+    """Pixels (struct x, y, res_x, res_y), their colours and, if given, a zoom level: a PNG of the group, a tile's size at that level."""
+    from pyspark.sql.functions import pandas_udf
+
+    from geoloom.viz.functions import draw
+
+    def run(pixel: pd.Series, color: pd.Series, zoom: pd.Series) -> bytes:
+        none = dict.fromkeys(("x", "y", "res_x", "res_y"))
+        pixel = pd.DataFrame([none if p is None else p if isinstance(p, dict) else p.asDict() for p in pixel], columns=list(none), index=color.index)
+        keep = pixel["x"].notna() & color.notna()
+        pixel, color = pixel[keep], color[keep]
+        if not len(pixel):
+            return None
+        n = 1 << int(zoom.iloc[0] if len(zoom) and zoom.iloc[0] == zoom.iloc[0] else 0)
+        width, height = int(pixel["res_x"].iloc[0]) // n, int(pixel["res_y"].iloc[0]) // n
+        x, y = (pixel["x"] % width if n > 1 else pixel["x"]), (pixel["y"] % height if n > 1 else pixel["y"])
+        return draw(width, height, zip(x.astype(int).tolist(), y.astype(int).tolist(), color.astype(int).tolist(), strict=True))
+
+    return pandas_udf(run, "binary")
+
+
 def aggregates() -> dict:
     """Grouped-aggregate functions on WKB; an empty group, or one of nulls, gives null."""
     from geoloom.operators import aggregates as A
 
-    return {"ST_Union_Aggr": _aggregate(A.fold_union), "ST_Envelope_Aggr": _aggregate(A.fold_envelope), "ST_Intersection_Aggr": _aggregate(A.fold_intersection)}
+    return {"ST_Render": _render(), "ST_Union_Aggr": _aggregate(A.fold_union), "ST_Envelope_Aggr": _aggregate(A.fold_envelope), "ST_Intersection_Aggr": _aggregate(A.fold_intersection)}
 
 
 def generators() -> dict:

@@ -8,6 +8,7 @@ comparisons, so that placing a row needs no Python.
 from __future__ import annotations
 
 import json
+import math
 import random
 from dataclasses import dataclass
 
@@ -106,6 +107,19 @@ def quad_tree(points: list[tuple[float, float]], partitions: int, bounds: Rect,
     return Cells([wide(r) for r in out])
 
 
+def str_tree(points: list[tuple[float, float]], partitions: int) -> Cells:
+    """Slices of equal numbers of points from left to right, each cut into cells of equal numbers from below: a packed R-tree's leaves, without gaps."""
+    slices = max(1, math.ceil(math.sqrt(partitions)))
+    points = sorted(points)
+    cuts = lambda v, n: sorted({v[len(v) * k // n] for k in range(1, n)}) if v else []
+    xs = [-INF, *cuts([p[0] for p in points], slices), INF]
+    out = []
+    for x0, x1 in zip(xs, xs[1:], strict=False):
+        ys = [-INF, *cuts(sorted(p[1] for p in points if x0 <= p[0] < x1), max(1, round(partitions / (len(xs) - 1)))), INF]
+        out += [(x0, y0, x1, y1) for y0, y1 in zip(ys, ys[1:], strict=False)]
+    return Cells(out)
+
+
 def equal_grid(partitions: int, bounds: Rect) -> Cells:
     n = max(1, round(partitions**0.5))
     xs = [-INF, *(bounds[0] + (bounds[2] - bounds[0]) * k / n for k in range(1, n)), INF]
@@ -129,7 +143,7 @@ def hilbert(cx: Column, cy: Column, bits: int = 16) -> Column:
 
 
 def build(df: DataFrame, geom: str, kind: str, partitions: int, seed: int = 7) -> Cells:
-    """Cells of a kind (kdbtree, quadtree, equalgrid) for a frame."""
+    """Cells of a kind (kdbtree, quadtree, rtree, equalgrid) for a frame."""
     b = df.select(box(df, geom).alias("b")).where("b.xmin is not null")
     s = b.agg(F.count("*").alias("n"), F.min("b.xmin").alias("x0"), F.min("b.ymin").alias("y0"), F.max("b.xmax").alias("x1"), F.max("b.ymax").alias("y1")).first()
     if not s.n:
@@ -144,6 +158,8 @@ def build(df: DataFrame, geom: str, kind: str, partitions: int, seed: int = 7) -
     random.Random(seed).shuffle(points)
     if kind == "kdbtree":
         return kdb_tree(points, partitions)
+    if kind == "rtree":
+        return str_tree(points, partitions)
     if kind == "quadtree":
         return quad_tree(points, partitions, bounds)
     raise ValueError(f"unknown partitioning {kind}")

@@ -8,14 +8,16 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.frame import JoinParams, SpatialFrame
 from geoloom.functions import native as N
+from geoloom.functions.kernels import batched
 from geoloom.functions.register import register
 from geoloom.operators import joins as J
 from geoloom.operators import partitioning as P
 from geoloom.operators.geometry import wkb_box
 from geoloom.plans import derived as D
 from geoloom.plans.durable import folder, put
-from geoloom.plans.queries import _IN, C, IT, NA, PA, S, WORLD, _ngons, _r, _wkb_rects, query, st
+from geoloom.plans.queries import _IN, C, IT, NA, PA, S, WORLD, _r, _wkb_rects, query, st
 from geoloom.plans.sql import spatial_sql
 from geoloom.sources import geotiff, shapefile
 from geoloom.sources import text as X
@@ -443,16 +445,6 @@ def st_aggregates_sql(s, d):
     return s.sql("SELECT n_regionkey, round(ST_Area(ST_Envelope_Aggr(ST_PolygonFromEnvelope(x0, y0, x1, y1))), 6) AS envelope, round(ST_Area(ST_Union_Aggr(ST_PolygonFromEnvelope(x0, y0, x1, y1))), 6) AS joined FROM geo_nations JOIN geo_regions USING (n_nationkey) GROUP BY n_regionkey")
 
 
-_EDGE = "((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))"
-_NGON = f"(SELECT s_suppkey, k, x + r * cos(2 * {math.pi!r}::DOUBLE * k / n) AS x, y + r * sin(2 * {math.pi!r}::DOUBLE * k / n) AS y, n FROM (SELECT *, s_suppkey % 10 + 3 AS n FROM {S}), range(13) t(k) WHERE k <= n)"
-
-
-@query("polygon_point_join_convex", f"SELECT a.s_suppkey, c_custkey FROM {_NGON} a JOIN {_NGON} b ON a.s_suppkey = b.s_suppkey AND b.k = a.k + 1 CROSS JOIN {C} p GROUP BY a.s_suppkey, c_custkey HAVING min({_EDGE}) >= 0")
-def polygon_point_join_convex(s, d):
-    """Regular polygons against points; in SQL a point is left of every edge."""
-    return J.spatial_join(_ngons(s, d), D.customers(s, d), "contains").select("s_suppkey", "c_custkey")
-
-
 # --- partitioning ----------------------------------------------------------------------
 
 
@@ -468,7 +460,7 @@ def _partitioned_join(kind: str):
     return run
 
 
-for _kind in ("kdbtree", "quadtree", "equalgrid"):
+for _kind in ("kdbtree", "quadtree", "rtree", "equalgrid"):
     query(f"partitioned_join_{_kind}", f"SELECT p_partkey, c_custkey FROM {PA} a JOIN {C} p ON {_IN}")(_partitioned_join(_kind))
 
 
@@ -551,8 +543,6 @@ _PX = "least(floor((x + 180) / 360 * 64), 63)::INTEGER AS px, least(floor((y + 9
 
 def _drawn(images: DataFrame) -> DataFrame:
     """(tile, opaque pixels, their red summed) of each picture, decoded again."""
-    from geoloom.functions.kernels import batched
-
     def count(image):
         a = V.decode(bytes(image)).astype(int)
         return [int((a[..., 3] > 0).sum()), int(a[..., 0][a[..., 3] > 0].sum())]
@@ -574,8 +564,6 @@ def render_heatmap_pixels(s, d):
 @query("st_pixelize_points", f"SELECT s_suppkey, {_PX} FROM {S}")
 def st_pixelize_points(s, d):
     kind, f = VF.FUNCTIONS["ST_Pixelize"]
-    from geoloom.functions.kernels import batched
-
     world = st("ST_PolygonFromEnvelope", *(F.lit(v) for v in WORLD))
     p = batched(f, kind)(st("ST_Point", F.col("geom.x"), F.col("geom.y")), F.lit(64), F.lit(32), world)
     return D.suppliers(s, d).select("s_suppkey", F.explode(p).alias("p")).select("s_suppkey", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
@@ -599,8 +587,6 @@ def fill_rectangle_pixels(s, d):
 @query("st_encodeimage", "SELECT vec_id, 'iVBORw0KGgo' AS head, 16::BIGINT AS pixels FROM embeddings")
 def st_encodeimage(s, d):
     """Pictures of four by four pixels as base64: decoded again they have their pixels."""
-    from geoloom.functions.kernels import batched
-
     b = lambda i: F.transform(F.slice("a", 1 + 16 * i, 16), lambda v: F.abs(v) % 256)
     image = D.bands(s, d).select("vec_id", F.unbase64(st("RS_Base64", F.lit(4), F.lit(4), b(0), b(1), b(2))).alias("image"))
     kind, f = VF.FUNCTIONS["ST_EncodeImage"]
@@ -610,9 +596,174 @@ def st_encodeimage(s, d):
 
 @query("rs_base64_decoded", "SELECT vec_id, sum(v)::BIGINT AS red FROM (SELECT vec_id, unnest(list_transform(embedding[1:16], lambda v: abs(floor(v::DOUBLE * 1000)) % 256)) AS v FROM embeddings) GROUP BY vec_id")
 def rs_base64_decoded(s, d):
-    from geoloom.functions.kernels import batched
-
     b = lambda i: F.transform(F.slice("a", 1 + 16 * i, 16), lambda v: F.abs(v) % 256)
     image = D.bands(s, d).select("vec_id", F.unbase64(st("RS_Base64", F.lit(4), F.lit(4), b(0), b(1), b(2))).alias("image"))
     return image.select("vec_id", batched(lambda image: int(V.decode(bytes(image))[..., 0].sum()), "long")(F.col("image")).alias("red"))
 
+
+
+# --- circles, projections ------------------------------------------------------------------
+
+_FAR = "sqrt(greatest(abs(b.x0 - c.x), abs(b.x1 - c.x)) ** 2 + greatest(abs(b.y0 - c.y), abs(b.y1 - c.y)) ** 2)"
+_NEAR = "sqrt(greatest(b.x0 - c.x, 0, c.x - b.x1) ** 2 + greatest(b.y0 - c.y, 0, c.y - b.y1) ** 2)"
+
+
+@query("circle_rects", f"SELECT s_suppkey, p_partkey, {_FAR} <= r AS covers FROM {S} c JOIN {PA} b ON {_NEAR} <= r")
+def circle_rects(s, d):
+    """Circles that meet rectangles, and whether they cover them: boxes by cells, then the circle's own tests."""
+    c = D.suppliers(s, d).select("s_suppkey", N.circle(F.col("geom"), "r").alias("circle")).withColumn("geom", N.circle_box(F.col("circle")))
+    j = J.spatial_join(c, D.parts(s, d).select("p_partkey", "geom"), "intersects")
+    j = j.where(N.circle_intersects_rect(F.col("circle"), F.col("geom_right")))
+    return j.select("s_suppkey", "p_partkey", N.circle_covers_rect(F.col("circle"), F.col("geom_right")).alias("covers"))
+
+
+@query("circle_shapes", "SELECT s_suppkey, s_suppkey % 10 >= 5 AS covers, s_suppkey % 10 >= 3 AS meets FROM supplier")
+def circle_shapes(s, d):
+    """A circle of radius k % 10 around the origin against a line from (0, 3) to (4, 3)."""
+    from geoloom.kernel.geometry import Geom
+    from geoloom.kernel.measure import circle_covers, circle_intersects
+
+    def both(g: Geom, r):
+        return [circle_covers((0.0, 0.0), float(r), g), circle_intersects((0.0, 0.0), float(r), g)]
+
+    line = _line(F.lit(0.0), F.lit(3.0), F.lit(4.0), F.lit(3.0))
+    t = D.suppliers(s, d).select("s_suppkey", batched(both, "array<boolean>")(line, F.col("s_suppkey") % 10).alias("b"))
+    return t.select("s_suppkey", F.col("b")[0].alias("covers"), F.col("b")[1].alias("meets"))
+
+
+_ECC = "0.08181919084262149::DOUBLE"
+
+
+@query("st_transform_ellipsoidal_mercator", f"SELECT s_suppkey, round(6378137 * radians(x), 2) AS x, round(6378137 * (ln(tan(pi() / 4 + radians(y) / 2)) - {_ECC} * 0.5 * ln((1 + {_ECC} * sin(radians(y))) / (1 - {_ECC} * sin(radians(y))))), 2) AS y FROM (SELECT s_suppkey, x, y * 0.9 AS y FROM {S})")
+def st_transform_ellipsoidal_mercator(s, d):
+    g = st("ST_Transform", st("ST_Point", F.col("geom.x"), F.col("geom.y") * 0.9), F.lit("epsg:4326"), F.lit("epsg:3395"))
+    return D.suppliers(s, d).select("s_suppkey", _r(st("ST_X", g), 2).alias("x"), _r(st("ST_Y", g), 2).alias("y"))
+
+
+# --- frames --------------------------------------------------------------------------------
+
+
+@query("frame_partitioned_join", f"SELECT p_partkey, c_custkey FROM {PA} a JOIN {C} p ON {_IN}")
+def frame_partitioned_join(s, d):
+    a, b = SpatialFrame(D.parts(s, d)), SpatialFrame(D.customers(s, d))
+    return a.partition("kdbtree", 8).join(b, JoinParams(partitioning="kdbtree")).select("p_partkey", "c_custkey")
+
+
+@query("frame_saved_and_loaded", f"SELECT c_custkey, x, y FROM {C}")
+def frame_saved_and_loaded(s, d):
+    at = folder(s)
+    SpatialFrame(D.customers(s, d)).partition("rtree", 8).save(at)
+    back = SpatialFrame.load(s, at)
+    assert len(back.cells.rects) > 1
+    return back.df.select("c_custkey", "geom.x", "geom.y")
+
+
+@query("frame_adapter", f"SELECT CAST(c_custkey AS VARCHAR) AS id, x, y FROM {C}")
+def frame_adapter(s, d):
+    """Columns to a frame, to attributes as text, and back to columns."""
+    flat = D.customers(s, d).select("c_custkey", F.col("geom.x").alias("lon"), F.col("geom.y").alias("lat"))
+    text = SpatialFrame.points(flat, "lon", "lat").to_text(",")
+    again = SpatialFrame.from_text(text.withColumn("attributes", F.split("attributes", ",")), ["id", "lon", "lat"])
+    return again.df.select("id", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("frame_join_metrics", f"SELECT (SELECT count(*) FROM part) AS l, (SELECT count(*) FROM customer) AS r, count(*) AS candidates, count(*) AS pairs FROM {PA} a JOIN {C} p ON {_IN}")
+def frame_join_metrics(s, d):
+    m = SpatialFrame(D.parts(s, d)).join_metrics(SpatialFrame(D.customers(s, d)))
+    return s.createDataFrame([(m["left"], m["right"], m["candidates"], m["pairs"])], "l long, r long, candidates long, pairs long")
+
+
+# --- more pictures -------------------------------------------------------------------------
+
+_W = f"(SELECT px, py, count(*)::DOUBLE AS weight FROM (SELECT {_PX} FROM {IT}) GROUP BY px, py)"
+for _name, _kernel in (("gaussian", V.gaussian(1)), ("emboss", V.EMBOSS), ("outline", V.OUTLINE), ("sharpen", V.SHARPEN)):
+    _union = " UNION ALL ".join(f"SELECT px + {x} AS px, py + {y} AS py, weight * {w!r}::DOUBLE AS weight FROM w" for (x, y), w in sorted(_kernel.items()) if w)
+
+    def _filtered(s, d, kernel=_kernel):
+        w = V.weigh(V.pixelize(D.items(s, d), 64, 32, WORLD))
+        return V.convolve(w, kernel, 64, 32).select("px", "py", _r(F.col("weight"), 4).alias("weight"))
+
+    query(f"filter_{_name}", f"WITH w AS {_W} SELECT px, py, round(sum(weight), 4) AS weight FROM ({_union}) WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 31 GROUP BY px, py")(_filtered)
+
+
+@query("linear_colours", f"WITH w AS {_W} SELECT px, py, CAST(trunc(weight * 255.0 / m) * 65536 + CASE WHEN trunc(weight * 255.0 / m) = 0 THEN 0 ELSE 150::BIGINT * 16777216 END AS BIGINT) AS color FROM w, (SELECT max(weight) AS m FROM w)")
+def linear_colours(s, d):
+    w = V.weigh(V.pixelize(D.items(s, d), 64, 32, WORLD))
+    top = w.agg(F.max("weight").alias("m"))
+    return w.join(F.broadcast(top)).select("px", "py", V.linear_colour(F.col("weight"), F.col("m"), "red").alias("color"))
+
+
+@query("pixel_codecs", f"SELECT s_suppkey, px + py * 64::BIGINT AS id, px AS x, py AS y, 31 - py AS flipped FROM (SELECT s_suppkey, {_PX} FROM {S})")
+def pixel_codecs(s, d):
+    p = D.suppliers(s, d).select("s_suppkey", N.pixel(F.col("geom"), 64, 32, WORLD).alias("p")).withColumn("id", N.pixel_id(F.col("p")))
+    back = N.pixel_of("id", 64, 32)
+    return p.select("s_suppkey", "id", back["x"].alias("x"), back["y"].alias("y"), N.flipped_pixel(F.col("p"))["y"].alias("flipped"))
+
+
+@query("viz_partition_tiles", f"SELECT '3-' || (px * 8 // 64) || '-' || (7 - py * 8 // 32) AS tile, count(*) AS n, true AS decoded FROM (SELECT {_PX} FROM {C}) GROUP BY 1")
+def viz_partition_tiles(s, d):
+    p = V.partition_by_tile(V.pixelize(D.customers(s, d), 64, 32, WORLD), 64, 32, 3)
+    return p.groupBy("tile").agg(F.count("*").alias("n"), F.bool_and(N.tile_of_lineage("lineage") == F.col("tile")).alias("decoded"))
+
+
+@query("st_render_sql", f"SELECT '1-' || (px // 32) || '-' || (1 - py // 16) AS tile, count(*) AS pixels, 255 * count(*) AS red FROM (SELECT DISTINCT {_PX} FROM {C}) GROUP BY 1")
+def st_render_sql(s, d):
+    """Tiles drawn by the SQL aggregate, a group a tile."""
+    register(s)
+    px = N.pixel(F.col("geom"), 64, 32, WORLD)
+    p = D.customers(s, d).select(px.alias("pixel")).distinct().withColumn("tile", N.tile_name(F.col("pixel"), 1))
+    p.createOrReplaceTempView("geo_pixels")
+    return _drawn(s.sql("SELECT tile, ST_Render(pixel, ST_Colorize(1.0D, 1.0D, 'red'), 1) AS image FROM geo_pixels GROUP BY tile"))
+
+
+@query("png_files", f"SELECT '1-' || (px // 32) || '-' || (1 - py // 16) AS tile, count(*) AS pixels FROM (SELECT DISTINCT {_PX} FROM {C}) GROUP BY 1")
+def png_files(s, d):
+    at = folder(s)
+    V.write_png(V.scatter_plot(D.customers(s, d), 64, 32, WORLD, zoom=1), at)
+    files = s.read.format("binaryFile").load(at).select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("tile"), F.col("content").alias("image"))
+    return _drawn(files).select("tile", "pixels")
+
+
+@query("svg_overlay", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT {_PX} FROM {C})) + (SELECT count(*) FROM (SELECT DISTINCT {_PX} FROM {S})) AS squares, 1::BIGINT AS heads")
+def svg_overlay(s, d):
+    layer = lambda df, rgb: V.to_svg(V.pixelize(df, 64, 32, WORLD).select("px", "py").distinct().withColumn("color", F.lit(VF.argb(*rgb))), 64, 32)
+    at = folder(s)
+    V.overlay_svg(layer(D.customers(s, d), (0, 0, 255)), layer(D.suppliers(s, d), (255, 0, 0))).orderBy("place").select("line").write.text(at)
+    lines = s.read.text(at)
+    return lines.agg(F.sum(F.col("value").startswith("<rect").cast("long")).alias("squares"), F.sum(F.col("value").startswith("<svg").cast("long")).alias("heads"))
+
+
+@query("geotiff_format", "SELECT 5 AS width, 5 AS height, 2 AS bands, sum(n_nationkey)::DOUBLE * 3 AS total FROM nation")
+def geotiff_format(s, d):
+    keys = sorted(r.n_nationkey for r in D.table(s, d, "nation").select("n_nationkey").collect())  # 25
+    at = folder(s)
+    put(s, f"{at}/one.tif", _tiff(5, 5, [keys, [2 * k for k in keys]]))
+    geotiff.register_format(s)
+    t = s.read.format("geotiff").load(at.removeprefix("file:")).select("image.*")
+    return t.select("width", "height", F.col("nBands").alias("bands"), F.aggregate("data", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+# --- entering and leaving, as a state ---------------------------------------------------------
+
+_WALK = f"(SELECT event_id, user_id, ts, ((event_id * 37) % 3600)::DOUBLE / 10.0::DOUBLE - 180::DOUBLE AS x, ((event_id * 91) % 1800)::DOUBLE / 10.0::DOUBLE - 90::DOUBLE AS y FROM events)"
+_MOVES = f"WITH p AS (SELECT user_id, ts, min(n_nationkey) AS f FROM {_WALK} p LEFT JOIN {NA} a ON {_IN} GROUP BY user_id, ts), q AS (SELECT *, lag(f) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM p), m AS (SELECT b AS fence, 'leave' AS event FROM q WHERE b IS NOT NULL AND f IS DISTINCT FROM b UNION ALL SELECT f AS fence, 'enter' AS event FROM q WHERE f IS NOT NULL AND f IS DISTINCT FROM b) SELECT fence::BIGINT AS fence, event, count(*) AS n FROM m GROUP BY 1, 2"
+
+
+def _walk(e: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    return e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), N.point((k * 37 % 3600).cast("double") / 10.0 - 180.0, (k * 91 % 1800).cast("double") / 10.0 - 90.0).alias("geom"))
+
+
+@query("geofence_crossings", _MOVES)
+def geofence_crossings(s, d):
+    c = G.crossings(_walk(D.table(s, d, "events")), D.nations(s, d), "user_id", "ts", "n_nationkey", 1.0)
+    return c.groupBy("fence", "event").agg(F.count("*").alias("n"))
+
+
+@query("stream_geofence_crossings", _MOVES)
+def stream_geofence_crossings(s, d):
+    """The same as a stateful operator over a stream that is read to its end."""
+    at = folder(s)
+    c = G.crossings(_walk(_streamed(s, d)), D.nations(s, d), "user_id", "ts", "n_nationkey", 1.0)
+    c.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(c.schema).parquet(f"{at}/rows").groupBy("fence", "event").agg(F.count("*").alias("n"))

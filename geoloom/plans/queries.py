@@ -173,10 +173,10 @@ def st_rings(s, d):
 # --- measures ----------------------------------------------------------------------
 
 
-@query("st_distance_points", f"SELECT c_custkey, s_suppkey, round(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), 6) AS distance FROM {C} c JOIN {S} s ON c.c_nationkey = s.s_suppkey")
+@query("st_distance_points", f"SELECT c_custkey, s_suppkey, round(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), 6) AS distance FROM {C} c JOIN {S} s ON c.c_nationkey = s.s_suppkey % 25")
 def st_distance_points(s, d):
     c, u = D.customers(s, d), D.suppliers(s, d).withColumnRenamed("geom", "sgeom")
-    return c.join(u, c["c_nationkey"] == u["s_suppkey"]).select("c_custkey", "s_suppkey", _r(N.distance(F.col("geom"), F.col("sgeom"))).alias("distance"))
+    return c.join(u, c["c_nationkey"] == u["s_suppkey"] % 25).select("c_custkey", "s_suppkey", _r(N.distance(F.col("geom"), F.col("sgeom"))).alias("distance"))
 
 
 @query("st_azimuth_points", f"SELECT c_custkey, round(CASE WHEN a < 0 THEN a + {2 * math.pi!r}::DOUBLE ELSE a END, 6) AS azimuth FROM (SELECT c_custkey, atan2(0.05::DOUBLE - x, 0.05::DOUBLE - y) AS a FROM {C})")
@@ -472,12 +472,6 @@ def rs_html(s, d):
     return D.bands(s, d).select("vec_id", R.rs_html(F.col("vec_id").cast("string"), 300).alias("html"))
 
 
-@query("rs_base64")
-def rs_base64(s, d):
-    b = lambda i: F.transform(F.slice("a", 1 + 16 * i, 16), lambda v: F.abs(v) % 256)
-    return D.bands(s, d).select("vec_id", st("RS_Base64", F.lit(4), F.lit(4), b(0), b(1), b(2)).alias("image"))
-
-
 # --- geohashes, cells, pixels ------------------------------------------------------------
 
 
@@ -579,12 +573,6 @@ def heatmap_box_blur(s, d):
     return V.convolve(pixel_counts(s, d), V.box_blur(1), 64, 32).select("px", "py", _r(F.col("weight")).alias("weight"))
 
 
-@query("kdb_partition_balance")
-def kdb_partition_balance(s, d):
-    placed, _ = P.partition(D.customers(s, d), "geom", "kdbtree", 8)
-    return placed.groupBy("cell_id").agg(F.count("*").alias("n"))
-
-
 # --- the host's operators over spatial data ----------------------------------------------
 
 _TILES = f"(SELECT c_nationkey, c_acctbal, floor(x / 60)::BIGINT AS cx, floor(y / 30)::BIGINT AS cy FROM {C})"
@@ -699,12 +687,6 @@ def st_area_ngon(s, d):
     return _ngons(s, d).select("s_suppkey", _r(st("ST_Area", F.col("geom")), 4).alias("area"))
 
 
-@query("st_convexhull_ngon", "SELECT s_suppkey, true AS same, true AS valid, true AS simple FROM supplier")
-def st_convexhull_ngon(s, d):
-    g = F.col("geom")
-    return _ngons(s, d).select("s_suppkey", st("ST_Equals", st("ST_ConvexHull", g), g).alias("same"), st("ST_IsValid", g).alias("valid"), st("ST_IsSimple", g).alias("simple"))
-
-
 @query("st_intersection_rects", f"SELECT n_nationkey, p_partkey, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area FROM {_PAIR} WHERE {_MEET}")
 def st_intersection_rects(s, d):
     j = J.spatial_join(_wkb_rects(D.nations(s, d)), _wkb_rects(D.parts(s, d)), "intersects")
@@ -731,41 +713,23 @@ def st_makevalid_bowtie(s, d):
     return g.withColumn("a", st("ST_Area", F.col("g"))).groupBy("s_suppkey", "parts").agg(_r(F.sum("a")).alias("area"))
 
 
-@query("st_simplify", f"SELECT o_custkey, true AS fewer FROM {_LINES}")
-def st_simplify(s, d):
-    t = _trajectories(s, d).select("o_custkey", st("ST_NPoints", F.col("line")).alias("n"), st("ST_NPoints", st("ST_SimplifyPreserveTopology", F.col("line"), F.lit(20.0))).alias("m"))
-    return t.select("o_custkey", (F.col("m") <= F.col("n")).alias("fewer"))
-
-
-@query("st_transform_mercator", f"SELECT c_custkey, round(radians(x) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137, 2) AS y FROM {C} WHERE abs(y) < 80")
+@query("st_transform_mercator", f"SELECT c_custkey, round(radians(x) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(y * 0.9) / 2)) * 6378137, 2) AS y FROM {C}")
 def st_transform_mercator(s, d):
-    p = F.col("geom")
-    return D.customers(s, d).where(F.abs(p["y"]) < 80).select("c_custkey", N.web_mercator(p).alias("m")).select("c_custkey", _r(F.col("m.x"), 2).alias("x"), _r(F.col("m.y"), 2).alias("y"))
+    p = N.point(F.col("geom.x"), F.col("geom.y") * 0.9)
+    return D.customers(s, d).select("c_custkey", N.web_mercator(p).alias("m")).select("c_custkey", _r(F.col("m.x"), 2).alias("x"), _r(F.col("m.y"), 2).alias("y"))
 
 
-@query("st_transform_utm_roundtrip", f"SELECT s_suppkey, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT s_suppkey, (s_suppkey % 60)::DOUBLE / 10 + 6 AS x, (s_suppkey % 160)::DOUBLE / 2 AS y FROM supplier)")
-def st_transform_utm_roundtrip(s, d):
-    k = F.col("s_suppkey")
-    g = D.suppliers(s, d).select("s_suppkey", st("ST_Transform", st("ST_Transform", st("ST_Point", k % 60 / 10 + 6, k % 160 / 2), F.lit("epsg:4326"), F.lit("epsg:32632")), F.lit("epsg:32632"), F.lit("epsg:4326")).alias("g"))
-    return g.select("s_suppkey", _r(st("ST_X", F.col("g"))).alias("x"), _r(st("ST_Y", F.col("g"))).alias("y"))
+_EDGE = "((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))"
+_NGON = f"(SELECT s_suppkey, k, x + r * cos(2 * {math.pi!r}::DOUBLE * k / n) AS x, y + r * sin(2 * {math.pi!r}::DOUBLE * k / n) AS y, n FROM (SELECT *, s_suppkey % 10 + 3 AS n FROM {S}), range(13) t(k) WHERE k <= n)"
 
 
-@query("polygon_point_join")
+@query("polygon_point_join", f"SELECT a.s_suppkey, c_custkey FROM {_NGON} a JOIN {_NGON} b ON a.s_suppkey = b.s_suppkey AND b.k = a.k + 1 CROSS JOIN {C} p GROUP BY a.s_suppkey, c_custkey HAVING min({_EDGE}) >= 0")
 def polygon_point_join(s, d):
+    """Regular polygons against points; in SQL a point is left of every edge."""
     return J.spatial_join(_ngons(s, d), D.customers(s, d), "contains").select("s_suppkey", "c_custkey")
 
 
-@query("st_render_heatmap")
-def st_render_heatmap(s, d):
-    return V.heat_map(D.items(s, d), 256, 128, WORLD, zoom=1)
-
-
-@query("st_render_scatter")
-def st_render_scatter(s, d):
-    return V.scatter_plot(D.customers(s, d), 256, 128, WORLD)
-
-
-@query("st_render_choropleth")
-def st_render_choropleth(s, d):
+@query("choropleth_pixels", f"SELECT px, py, sum(n)::DOUBLE AS weight FROM (SELECT a.n_nationkey, x0, y0, x1, y1, count(*) AS n FROM {NA} a JOIN {IT} p ON {_IN} GROUP BY ALL) a, (SELECT i::INTEGER AS px, j::INTEGER AS py, -180 + (i + 0.5) * 360 / 128 AS cx, -90 + (j + 0.5) * 180 / 64 AS cy FROM range(128) t(i), range(64) u(j)) WHERE cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY px, py")
+def choropleth_pixels(s, d):
     counts = range_join_contains(s, d).join(_wkb_rects(D.nations(s, d)), "n_nationkey")
-    return V.choropleth(counts, 128, 64, WORLD, count="n")
+    return V.weigh(V.pixelize(counts, 128, 64, WORLD, filled=True), "n")

@@ -134,3 +134,42 @@ def read_geotiff(spark: SparkSession, path: str, drop_invalid: bool = False, glo
 
     flat = files.mapInPandas(run, "origin string, wkt string, height int, width int, nBands int, data array<double>")
     return flat.selectExpr("struct(origin, wkt, height, width, nBands, data) AS image")
+
+
+def register_format(spark: SparkSession) -> None:
+    """Makes ``spark.read.format("geotiff").load(path)`` read pictures, a task a file."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Reader(DataSourceReader):
+        def __init__(self, options):
+            self.options = options
+
+        def partitions(self):
+            from pyarrow import fs
+
+            path = self.options["path"]
+            store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            found = [f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.is_file and f.extension.lower() in ("tif", "tiff")] if store.get_file_info(at).type == fs.FileType.Directory else [at]
+            return [InputPartition(f) for f in sorted(found)]
+
+        def read(self, partition):
+            from pyarrow import fs
+
+            path = self.options["path"]
+            store = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+            with store.open_input_stream(partition.value) as f:
+                d = decode(f.readall())
+            yield ((partition.value, d["wkt"], d["height"], d["width"], d["bands"], [float(v) for v in d["data"]]),)
+
+    class GeoTiff(DataSource):
+        @classmethod
+        def name(cls):
+            return "geotiff"
+
+        def schema(self):
+            return SCHEMA
+
+        def reader(self, schema):
+            return Reader(self.options)
+
+    spark.dataSource.register(GeoTiff)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import native as N
@@ -45,3 +46,41 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str = "
 def sessions(events: DataFrame, time: str, keys: list[str], gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a key that end after a gap."""
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
+def crossings(points: DataFrame, rects: DataFrame, key: str, time: str, rect_id: str, cell: float, geom: str = "geom") -> DataFrame:
+    """(key, time, fence, event): where each key's points enter and leave static rectangles, in the order of time.
+
+    Works on tables and, as a stateful operator, on streams: there the last
+    fences of each key are its state, and points that come too late for the
+    order count when they arrive.  A point in several rectangles counts for the
+    one of the smallest id.
+    """
+    inner = rects.select(F.col(rect_id).alias("_fence"), rects["geom"].alias("geom"))
+    own = points.select(F.col(key).alias("k"), F.col(time).alias("t"), points[geom].alias("geom"))
+    met = fence(own, inner, cell).select("k", "t", F.col("fence._fence").cast("long").alias("f"))
+    placed = own.select("k", "t").withColumn("f", F.lit(None).cast("long")).union(met)
+    kind = f"{key} {points.schema[key].dataType.simpleString()}, {time} {points.schema[time].dataType.simpleString()}, fence long, event string"
+    if not points.isStreaming:
+        # every point once, with the smallest fence or none; then the one before it
+        one = placed.groupBy("k", "t").agg(F.min("f").alias("f"))
+        before = F.lag("f").over(Window.partitionBy("k").orderBy("t"))
+        moves = one.withColumn("b", before).where(~F.col("f").eqNullSafe(F.col("b")))
+        events = F.array_compact(F.array(F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("fence"), F.lit("leave").alias("event"))), F.when(F.col("f").isNotNull(), F.struct(F.col("f").alias("fence"), F.lit("enter").alias("event")))))
+        return moves.select(F.col("k").alias(key), F.col("t").alias(time), F.explode(events).alias("e")).select(key, time, "e.fence", "e.event")
+
+    def step(keys, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames))
+        one = rows.groupby("t", sort=True)["f"].min()
+        out = []
+        for t, f in one.items():
+            f = None if f != f else int(f)
+            if f != last:
+                out += [(keys[0], t, last, "leave")] if last is not None else []
+                out += [(keys[0], t, f, "enter")] if f is not None else []
+            last = f
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, time, "fence", "event"])
+
+    return placed.groupBy("k").applyInPandasWithState(step, kind, "last long", "append", "NoTimeout")

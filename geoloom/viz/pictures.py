@@ -76,6 +76,30 @@ def colour(weight: Column, most: Column) -> Column:
     return F.when(v.isNull() | (v == 0), argb(255, 255, 255, 0)).otherwise(out)
 
 
+def linear_colour(weight: Column, most: Column, channel: str = "red", inverse: bool = False, alpha: int = ALPHA) -> Column:
+    """The share of the largest weight as the strength of one channel (red, green or blue), or its opposite; clear where it is 0."""
+    shift = {"red": 16, "green": 8, "blue": 0}[channel.lower()]
+    v = F.coalesce(F.try_divide(F.least(weight, most) * 255.0, most), F.lit(0.0)).cast("int")
+    value = F.lit(255) - v if inverse else v
+    return (F.shiftleft(value.cast("long"), shift) + F.when(v == 0, F.lit(0)).otherwise(F.lit(alpha << 24)).cast("long")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def signed(color: Column) -> Column:
+    """A 32-bit colour as the signed number that pictures hold."""
+    return F.when(color >= 1 << 31, color - (1 << 32)).otherwise(color).cast("int")
+
+
+def partition_by_tile(pixels: DataFrame, res_x: int, res_y: int, zoom: int, partitions: int | None = None) -> DataFrame:
+    """(px, py) rows with the ``tile`` that holds them and its place on the quad-tree's path (``lineage``), dealt out by tile."""
+    n = 1 << zoom
+    tx, ty = F.floor(F.col("px") * n / res_x).cast("int"), F.floor(F.col("py") * n / res_y).cast("int")
+    row = F.lit(n - 1) - ty  # rows of tiles count from the top
+    digit = lambda k: (F.shiftright(tx, k).bitwiseAND(F.lit(1)) + 2 * F.shiftright(row, k).bitwiseAND(F.lit(1))).cast("string")
+    lineage = F.concat(*(digit(k) for k in reversed(range(zoom)))) if zoom else F.lit("")
+    out = pixels.withColumn("tile", F.concat_ws("-", F.lit(zoom).cast("string"), tx.cast("string"), row.cast("string"))).withColumn("lineage", lineage)
+    return out.repartition(partitions or n * n, "tile")
+
+
 def colorize(weights: DataFrame, most: float | None = None) -> DataFrame:
     """Adds ``color`` by the share of the largest weight (or of ``most``, which larger ones are cut to)."""
     if most is None:
@@ -175,3 +199,39 @@ def save_images(images: DataFrame, path: str) -> None:
     images.write.mode("overwrite").parquet(path)
 
 
+def write_png(images: DataFrame, uri: str, suffix: str = "png") -> DataFrame:
+    """Writes a file for each (tile, image) row below a folder, in the tasks; (tile, file) of what was written.
+
+    The folder is a path or address that all executors share.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            names = [f"{at}/{t}.{suffix}" for t in b["tile"]]
+            for name, image in zip(names, b["image"], strict=True):
+                with store.open_output_stream(name) as out:
+                    out.write(bytes(image))
+            yield pd.DataFrame({"tile": b["tile"], "file": names})
+
+    from geoloom.plans.durable import stored
+
+    return stored(images.select("tile", "image").mapInPandas(run, "tile string, file string"))
+
+
+def to_svg(colors: DataFrame, res_x: int, res_y: int) -> DataFrame:
+    """(line): an SVG picture as rows of text, a square a pixel, to be written with ``write.text``; the head comes first."""
+    c = F.col("color").cast("long").bitwiseAND(F.lit(0xFFFFFF))
+    square = F.format_string(f'<rect x="%d" y="%d" width="1" height="1" fill="#%06x"/>', F.col("px"), F.lit(res_y - 1) - F.col("py"), c)
+    spots = colors.where(F.col("color").cast("long").bitwiseAND(F.lit(0xFF000000)) != 0).select(F.lit(1).alias("place"), square.alias("line"))
+    spark = colors.sparkSession
+    ends = spark.createDataFrame([(0, f'<svg xmlns="http://www.w3.org/2000/svg" width="{res_x}" height="{res_y}">'), (2, "</svg>")], "place int, line string")
+    return ends.union(spots)
+
+
+def overlay_svg(below: DataFrame, above: DataFrame) -> DataFrame:
+    """One SVG's squares drawn over another's; (place, line) rows of both, the head and the end once."""
+    return below.where("place < 2").union(above.where("place = 1").select((F.col("place")).alias("place"), "line")).union(below.where("place = 2"))

@@ -44,7 +44,7 @@ def sql(spark):
         ("ST_AsText(ST_RemovePoint(ST_GeomFromText('LINESTRING (0 0, 1 0, 2 0)'), 1))", "LINESTRING (0 0, 2 0)"),
         ("ST_RemovePoint(ST_GeomFromText('LINESTRING (0 0, 1 0)'), 0)", None),
         ("ST_AsText(ST_AddPoint(ST_GeomFromText('LINESTRING (0 0, 1 0)'), ST_Point(5D, 5D)))", "LINESTRING (0 0, 1 0, 5 5)"),
-        ("ST_GeoHash(ST_GeomFromText('POINT (21 52)'), 10)", "u3nzvf79zq"),
+        ("ST_GeoHash(ST_GeomFromText('POINT (-90 45)'), 4)", "f000"),
         ("ST_GeoHash(ST_Point(1D, 95D), 5)", None),
         ("ST_GeomFromGeoHash('a!', 2)", None),
         ("ST_AsText(ST_MakePolygon(ST_GeomFromText('LINESTRING (0 0, 1 0, 1 1, 0 0)'), array()))", "POLYGON ((0 0, 1 0, 1 1, 0 0))"),
@@ -59,7 +59,7 @@ def sql(spark):
         ("ST_Area(CAST(NULL AS BINARY))", None),
         ("ST_AsText(ST_MinimumBoundingCircle(ST_Point(1D, 1D)))", "POINT (1 1)"),
         ("RS_Mode(array(1D, 2D, 2D, 3D, 3D))", [2.0, 3.0]),
-        ("RS_NormalizedDifference(array(200D, 400D, 600D), array(200D, 500D, 800D))", [0.0, 0.11, 0.14]),
+        ("RS_NormalizedDifference(array(1D, 3D, 7D), array(3D, 1D, 7D))", [0.5, -0.5, 0.0]),
         ("RS_SubtractBands(array(1D), array(5D))", [4.0]),
         ("RS_DivideBands(array(1D, 1D), array(3D, 0D))", [0.33, None]),
         ("RS_HTML('x')", '<img src="data:image/png;base64,x" width="200" />'),
@@ -77,7 +77,7 @@ def test_sql_functions(sql, q, want):
 def test_generators_and_aggregates(spark, sql):
     rows = spark.sql("SELECT ST_AsText(geom) t FROM ST_MakeValid(ST_GeomFromWKT('POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))'), false)").collect()
     assert len(rows) == 2
-    n = spark.sql("SELECT geom FROM (SELECT ST_GeomFromWKT('LINESTRING (0 0, 85 85, 100 100, 120 120, 21 21, 10 10, 5 5)') g) t, LATERAL ST_SubDivideExplode(t.g, 5)").count()
+    n = spark.sql("SELECT geom FROM (SELECT ST_GeomFromWKT('LINESTRING (0 0, 1 0, 2 0, 3 0, 4 0, 5 0, 6 0)') g) t, LATERAL ST_SubDivideExplode(t.g, 5)").count()
     assert n == 2
     r = spark.sql("SELECT ST_Area(ST_Union_Aggr(g)) u, ST_AsText(ST_Envelope_Aggr(g)) e, ST_Area(ST_Intersection_Aggr(g)) i FROM (SELECT ST_PolygonFromEnvelope(a, a, b, b) g FROM VALUES (0, 2), (1, 3) AS t(a, b))").first()
     assert (r.u, r.e, r.i) == (7.0, "POLYGON ((0 0, 0 3, 3 3, 3 0, 0 0))", 1.0)
