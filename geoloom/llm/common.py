@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch. Texts may be long, so that a number of rows does not bound a worker's memory.
-BATCH = 4_000_000
+BATCH = 2_000_000
 
 
 def small_batches(spark: SparkSession) -> None:

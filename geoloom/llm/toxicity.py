@@ -36,6 +36,10 @@ NEAR, PULL = 0.8, 0.02
 JUDGED = 3
 #: Bits of the table of ordinary forms (2 MB) and places of each: one in a hundred thousand others is taken for one at 400,000 forms.
 FORM_BITS, FORM_PLACES = 24, 4
+#: Terms that a task counts before it gives them out.
+COUNTED = 20_000
+#: Trie nodes in all states that an automaton keeps (about 100 bytes each) before it starts anew.
+HELD = 500_000
 #: Lengths of stems, and how many different words must share one.
 STEM, STEM_WORDS = (4, 8), 4
 #: Tokens on either side that make a hit's context.
@@ -76,7 +80,7 @@ class FuzzyLexicon:
     edits, 2 a stem; or None.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], spare: Forms | frozenset[str] = frozenset(), limit: int = 150_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], spare: Forms | frozenset[str] = frozenset(), limit: int = 100_000, held: int = HELD):
         self.child: list[dict[str, int]] = [{}]
         self.most = [0]  # edits that some word below allows
         self.ends: list[int] = [-1]  # edits allowed where a word ends
@@ -88,7 +92,7 @@ class FuzzyLexicon:
             self.ends[node], self.odds[node] = k, odds
         for term, odds in stems.items():
             self.stem[self._walk(term, 0)] = odds
-        self.limit = limit
+        self.limit, self.held = limit, held
         self.spare = spare  # ordinary words that happen to lie near a term
         self.memo: dict[str, tuple[int, float] | None] = {}
         self._reset()
@@ -113,6 +117,7 @@ class FuzzyLexicon:
         self.sets: list[tuple] = []
         self.go: list[dict[str, int]] = []
         self.ending: list[tuple[int, float] | None] = []
+        self.weight = 0  # what the states hold
         self.start = self._state({0: 0}, 0.0)
 
     def _state(self, nodes: dict[int, int], stem: float) -> int:
@@ -131,6 +136,7 @@ class FuzzyLexicon:
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
+            self.weight += len(nodes) + 4
             self.go.append({})
             best = min(((e, -self.odds[n]) for n, e in nodes.items() if e <= self.ends[n]), default=None)
             self.ending.append((min(best[0], 1), -best[1]) if best else (2, stem) if stem else None)
@@ -156,7 +162,7 @@ class FuzzyLexicon:
             return self.memo[token]
         if len(self.memo) > self.limit:
             self.memo.clear()
-        if len(self.sets) > self.limit:
+        if self.weight > self.held:
             self._reset()
         s = self.start
         for c in token:
@@ -273,15 +279,17 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, is stem, documents with it) of a batch's texts."""
+    """(term, is stem, documents with it) of a batch's texts, given out whenever ``COUNTED`` different ones are held."""
     for batch in batches:
         count: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text in [*batch.column(0).to_pylist(), None]:  # the null at the end flushes
+            if count and (text is None or len(count) > COUNTED):
+                keys = list(count)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(count.values()), pa.int64())], ["term", "stem", "n"])
+                count.clear()
             words = {w for w in TOKEN.findall((text or "").lower()) if not w.isdigit()}
             count.update((w, False) for w in words)
             count.update((s, True) for s in {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)})
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(count.values()), pa.int64())], ["term", "stem", "n"])
 
 
 def _without_copies(texts: DataFrame) -> DataFrame:
