@@ -29,7 +29,7 @@ ROWS, BANDS, MISS = 3, 4, 1e-5
 #: Standard deviations that a sketch's estimate may lie below the threshold.
 SIGMAS = 5
 #: Documents of a bucket, and shingles (and 64 a row) of what is left of a cluster, that one task compares; more are dealt into blocks.
-BUCKET, CLUSTER = 4096, 200_000
+BUCKET, CLUSTER = 4096, 50_000
 #: Edges that share a document from which on its text goes to several tasks.
 HUB = 256
 
