@@ -231,6 +231,69 @@ def test_language_model_is_a_distribution(spark):
     assert np.allclose(total[used], 1)
 
 
+def test_language_model_scores_recomputed(spark, monkeypatch):
+    """Each text's score token by token from the model's tables; given class and word before, the words' probabilities add up to one."""
+    import numpy as np
+
+    monkeypatch.setattr(maxent, "CELL", 50)
+    rng = random.Random(13)
+    pool = ["w" + "".join(rng.choices("abcdefgh", k=3)) for _ in range(300)]
+    follow = {w: rng.sample(pool, 3) for w in pool}
+    texts = []
+    for _ in range(300):
+        w = [rng.choice(pool)]
+        for _ in range(rng.randint(0, 40)):
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.7 else rng.choice(pool))
+        texts.append(" ".join(w))
+    texts += ["", None, "never seen words", "Wabc wabc. " + texts[0] * 50]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, texts[1], "y", 2), (7, texts[7], "z", 3)], "doc_id long, text string, block string, p int")
+    train = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False))
+    model, _ = maxent.learn(docs.select("doc_id", "text", train.alias("train")), 3)
+    got = maxent.score_texts(docs, train, parts=3).collect()
+    count = Counter()
+    for i, t in [*enumerate(texts), (7, texts[7])]:
+        if i % 7 != 2:
+            count.update([*tokens(t), None])
+
+    def described(words):
+        data = " ".join(words).encode()
+        h, kind, _ = maxent.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return h, model.classes(h, kind)[0]
+
+    seen = sorted(w for w in count if w)
+    hashes, classes = described(seen)
+    weight = dict(zip(model.pair.tolist(), model.pair_weight.tolist()))
+    assert len(weight) > 100
+    members = defaultdict(list)
+    for w, x, c in zip(seen, hashes, classes):
+        members[int(c)].append((w, x))
+
+    def factor(before, x, c, n):
+        """P(word | class, word before), the sum over the class worked out word by word."""
+        if c < maxent.OWN or c == maxent.CLASSES - 1:
+            return 1.0
+        up = lambda y: 10 ** weight.get(int(maxent.pair_keys(np.array([before]), np.array([y]))[0]), 0.0)
+        z = 1 + sum((count[w] + 1) * up(y) for w, y in members[c])  # and the unseen word
+        return (n + 1) * up(x) / z
+
+    memo = {}
+    for r in got:
+        t = texts[1] if r.doc_id is None else texts[r.doc_id]
+        own = tokens(t)
+        h, c = described(own)
+        want, one, two, before = 0.0, maxent.BEGIN, maxent.BEGIN, maxent.START
+        for w, x, k in zip([*own, None], h, c):
+            key = (int(before), int(x))
+            if key not in memo:
+                memo[key] = factor(before, x, int(k), count[w])
+            want += float(model.table[two, one, int(k)]) + math.log10(memo[key])
+            one, two, before = int(k), one, x
+        assert r.score == pytest.approx(want, rel=1e-4), t
+    held = [r for r in got if r.doc_id is not None and r.doc_id % 7 == 2 and r.doc_id < 300]
+    base, lm = sum(r.base_score for r in held), sum(r.score for r in held)
+    assert lm > 0.9 * base  # following words are learned
+
+
 def test_language_model_pairs_have_room():
     """The pairs of history classes take more than 2,048 buckets: few enough share one."""
     import numpy as np
