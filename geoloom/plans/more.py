@@ -327,7 +327,7 @@ def st_boundary(s, d):
     return g.select("p_partkey", st("ST_GeometryType", F.col("b")).alias("kind"), _r(st("ST_Length", F.col("b"))).alias("length"), ends.alias("ends"))
 
 
-@query("st_linemerge", "SELECT s_suppkey, 'ST_LineString' AS kind, 4.0 + s_suppkey AS length, 0 AS other FROM supplier")
+@query("st_linemerge", "SELECT s_suppkey, 'ST_LineString' AS kind, 4.0::DOUBLE + s_suppkey AS length, 0 AS other FROM supplier")
 def st_linemerge(s, d):
     k = (F.col("s_suppkey") + 1).cast("string")
     wkt = F.concat(F.lit("MULTILINESTRING ((1 0, 3 0), (0 0, 1 0), (3 0, 3 "), k, F.lit("))"))

@@ -81,6 +81,7 @@ def crossings(points: DataFrame, rects: DataFrame, key: str, time: str, rect_id:
                 out += [(keys[0], t, f, "enter")] if f is not None else []
             last = f
         state.update((last,))
-        yield pd.DataFrame(out, columns=[key, time, "fence", "event"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, time, "fence", "event"])
 
     return placed.groupBy("k").applyInPandasWithState(step, kind, "last long", "append", "NoTimeout")
