@@ -97,8 +97,8 @@ def _tiny(left: DataFrame, right: DataFrame) -> int | None:
     for k, df in enumerate((left, right)):
         width = _width(df.schema["_row"].dataType, F.col("_row"))
         if width is not None:
-            some = df.limit(TINY + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
-            if some.n <= TINY and (some.bytes or 0) <= SMALL_BYTES:
+            some = df.select(width.alias("bytes")).limit(TINY + 1).collect()  # one stage that stops early
+            if len(some) <= TINY and sum(r.bytes or 0 for r in some) <= SMALL_BYTES:
                 return k
     return None
 
