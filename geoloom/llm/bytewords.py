@@ -18,6 +18,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes handled at once: small enough for the arrays over them to stay in a core's cache.
 BLOCK = 250_000
+#: The same for operators whose work on a block has a large constant part.
+TEXTS = 1_000_000
 
 
 def _lower_table() -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.bytewords import chunks, span_hashes
+from geoloom.llm.bytewords import TEXTS, chunks, span_hashes
 from geoloom.llm.common import pick
 
 MARK = "\u2581"
@@ -335,7 +335,7 @@ def encode_texts(docs: DataFrame, n_best: int = 4, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = lattice(path)
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(1)):
+            for first, end, data, offsets in chunks(batch.column(1), TEXTS):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 if MARK.encode() in raw:  # texts that hold the mark itself go one by one

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoloom.llm.bytewords import U, chunks, column_bytes, span_hashes
+from geoloom.llm.bytewords import TEXTS, U, chunks, column_bytes, span_hashes
 from geoloom.llm.common import pick
 
 # Character classes.
@@ -330,7 +330,7 @@ def count_tokens(texts: pa.Array, path: str) -> np.ndarray:
     """Token counts of a string column; nulls count as empty."""
     counter = _counter(path)
     out = np.zeros(len(texts), dtype=np.int64)
-    for first, end, data, offsets in chunks(texts):
+    for first, end, data, offsets in chunks(texts, TEXTS):
         raw = data.tobytes()
         if not any(x.encode() in raw for x in counter.merger.special):
             out[first:end] = counter.texts(data, offsets)
