@@ -122,8 +122,10 @@ def partitioned_join(left: SpatialFrame, right: SpatialFrame, params: JoinParams
     n = len(cells.rects)
     # a side that is dealt by these cells already has its rows in all of them
     there = lambda f: f.cells is not None and f.cells == cells and "cell_id" in f.df.columns
-    l, r = ((s if there(f) else s.withColumn("_c", F.explode(cells.ids_of(F.col("_box")))).repartition(n, "_c")).alias(k) for s, f, k in ((a, left, "l"), (b, right, "r")))
-    meet = N.rect_intersects(F.col("l._box"), F.col("r._box")) & (F.col("l._c") == cells.owner_of(F.col("l._box"), F.col("r._box")))
-    pairs = l.join(r, (F.col("l._c") == F.col("r._c")) & meet).where(exact(params.predicate, F.col("l._geom"), F.col("r._geom"), (left.kind, right.kind)))
+    l, r = (s if there(f) else s.withColumn("_c", F.explode(cells.ids_of(F.col("_box")))).repartition(n, "_c") for s, f in ((a, left), (b, right)))
+    met = F.col("l._c") == cells.owner_of(F.col("l._box"), F.col("r._box"))
+    if (params.predicate, left.kind, right.kind) not in J.SAID_BY_BOXES:
+        met = met & exact(params.predicate, F.col("l._geom"), F.col("r._geom"), (left.kind, right.kind))
+    pairs = J._pairs(l, r, (left.kind == "point", right.kind == "point"), met, also="_c")
     names = [[c for c in f.df.columns if c != "cell_id"] for f in (left, right)]
     return pairs.select(*J._fields("l._row", names[0], []), *J._fields("r._row", names[1], names[0]))

@@ -205,16 +205,21 @@ class Rewriter:
         packed = [self.packed(s, p, r) for s, p, r in zip(sides, (plan.left(), plan.right()), grown, strict=True)]
         if how != "inner":
             packed[0] = (stored(packed[0][0].withColumn("_id", F.monotonically_increasing_id())), packed[0][1])
-        pairs = J._pairs(packed[0][0], packed[1][0], tuple(k == "point" and r is None for k, r in zip(kinds, grown, strict=True)))
         l, r = F.col("l._geom"), F.col("r._geom")
+        points = tuple(k == "point" and r is None for k, r in zip(kinds, grown, strict=True))
+        equal = found.predicate == "equals"
+        condition = None
         if radius is None:
             if (found.predicate, *kinds) not in J.SAID_BY_BOXES:
-                pairs = pairs.where(exact(found.predicate, l, r, kinds))
+                condition = exact(found.predicate, l, r, kinds)
         else:
             limit, d = F.col("r._radius" if found.radius_on_right else "l._radius"), distance(l, r, kinds)
-            pairs = pairs.where(d < limit if found.strict else d <= limit)
+            condition = d < limit if found.strict else d <= limit
         own = [("l._row", i, a) for i, a in enumerate(packed[0][1])]
         other = [("r._row", i, a) for i, a in enumerate(packed[1][1])]
+        if how in ("left_semi", "left_anti") and not others:
+            return self.unpacked(J._having(packed[0][0], packed[0][0], packed[1][0], points, condition, how, equal), own)
+        pairs = J._pairs(packed[0][0], packed[1][0], points, condition, equal)
         if how == "inner":
             new = self.unpacked(pairs, own + other)
             for e in others:
