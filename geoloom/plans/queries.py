@@ -175,8 +175,12 @@ def st_rings(s, d):
 
 @query("st_distance_points", f"SELECT c_custkey, s_suppkey, round(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), 6) AS distance FROM {C} c JOIN {S} s ON c.c_nationkey = s.s_suppkey % 25")
 def st_distance_points(s, d):
-    c, u = D.customers(s, d), D.suppliers(s, d).withColumnRenamed("geom", "sgeom")
-    return c.join(u, c["c_nationkey"] == u["s_suppkey"] % 25).select("c_custkey", "s_suppkey", _r(N.distance(F.col("geom"), F.col("sgeom"))).alias("distance"))
+    """Customers and suppliers of a nation: rows that share place and nation are measured as one and spelled out behind the join."""
+    c = J.bundled(D.customers(s, d).select("c_custkey", "c_nationkey", "geom"), "geom", "c_nationkey").alias("c")
+    u = J.bundled(D.suppliers(s, d).select("s_suppkey", (F.col("s_suppkey") % 25).alias("nation"), "geom"), "geom", "nation").alias("u")
+    j = c.join(u, F.col("c_nationkey") == F.col("nation")).select(F.col("c._rows").alias("customers"), F.col("u._rows").alias("suppliers"), _r(N.distance(F.col("c.geom"), F.col("u.geom"))).alias("distance"))
+    j = j.withColumn("c", F.explode("customers")).withColumn("u", F.explode("suppliers"))
+    return j.select("c.c_custkey", "u.s_suppkey", "distance")
 
 
 @query("st_azimuth_points", f"SELECT c_custkey, round(CASE WHEN a < 0 THEN a + {2 * math.pi!r}::DOUBLE ELSE a END, 6) AS azimuth FROM (SELECT c_custkey, atan2(0.05::DOUBLE - x, 0.05::DOUBLE - y) AS a FROM {C})")

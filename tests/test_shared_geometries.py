@@ -80,3 +80,12 @@ def test_equal_rectangles_meet_by_their_boxes(spark):
     assert "_cx" not in j._jdf.queryExecution().toString()
     assert j.count() == 80_000
     assert j.where((F.col("id") - F.col("other")) % 20_000 != 0).count() == 0
+
+
+def test_bundles_hold_every_row(spark, monkeypatch):
+    monkeypatch.setattr(J, "TOGETHER", 1000)
+    k = F.col("id")
+    df = spark.range(500).select("id", (k % 3).alias("key"), F.when(k % 2 == 0, N.point(k % 4, F.lit(1))).alias("geom"))
+    got = J.bundled(df, "geom", "key")
+    assert got.agg(F.max(F.size("_rows"))).first()[0] < 30
+    assert sorted(map(str, got.select(F.explode("_rows").alias("r"), "key", "geom").select("r.id", "key", "geom").collect())) == sorted(map(str, df.collect()))
