@@ -6,13 +6,14 @@ spelling.  Both factors are softmaxes.  The class factor is a log-linear model
 on hashed features of the history: the class before (bigram), the two before
 together (trigram) and the one before last alone (skip).  Its sufficient
 statistics are counts of (history, class), which every partition gathers for
-itself, and each gradient is summed over partitions.  The word factor starts
+itself; their sum has one size at any corpus, and one task ascends the
+likelihood on it.  The word factor starts
 from the counts of the class's words and has a weight for each frequent pair of
 words (word bigrams, by their hash); the pairs of one word before and one class
 make a softmax of their own, so each is trained where its counts lie.  The word
-counts are a table that grows with the corpus: it stays partitioned by word
-hash, and documents send their rare words there in packed arrays, a block of
-documents at a time.
+counts and the weights of pairs are tables that grow with the corpus: they stay
+partitioned by hash, and documents send their rare words and pairs there in
+packed arrays, a block of documents at a time.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ FREQUENT = 65_536
 TEXTS = 4_000_000
 #: Distinct words that a task holds before it merges them.
 MERGE = 2_000_000
-#: Pairs of words that have a weight at most (the most frequent ones), and how often one must occur.
+#: Pairs of words whose weights every task holds at most (the most frequent ones; others are looked up), and how often one must occur.
 PAIRS, LEAST = 1 << 18, 5
 #: Words in a stored cell at most.
 CELL = 4_000_000
@@ -171,6 +172,8 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """What every task needs; its size does not grow with the corpus."""
 
+    #: Whether there are weights of pairs beyond those held here.
+    more_pairs: bool = False
     n: int = 0
     v: int = 0
     #: Hashes of frequent words, ascending, with their counts and classes.
@@ -203,6 +206,19 @@ class Model:
         """The class of frequent words that have none of their own."""
         return OWN + self.kind[place].astype(np.int64)
 
+    def pairs_elsewhere(self, h: np.ndarray, c: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of pairs and groups that may have a weight which is not held here, the tokens they belong to)."""
+        before, there = words_before(h, bounds), np.empty_like(known)
+        there[1:] = known[:-1]
+        there[bounds[:-1]] = True
+        own = np.flatnonzero(there & (c >= OWN) & (c < CLASSES - 1))
+        both = own[known[own]]
+        out = []
+        for held, keys, at in ((self.pair, pair_keys(before[both], h[both]), both), (self.group_of_pairs, group_keys(before[own], c[own]), own)):
+            new = ~_held(held, keys)
+            out.append((keys[new], at[new]))
+        return tuple(np.concatenate([x[j] for x in out]) for j in range(2))
+
     def word_factor(self, h: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 of what the word before changes in P(word | class)."""
         before = words_before(h, bounds)
@@ -225,6 +241,15 @@ def group_keys(before: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(mix(before + U(5)) + c.astype(U))
 
 
+def _held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether each key is there."""
+    if not len(keys):
+        return np.zeros(len(asked), dtype=bool)
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    return keys[at] == asked
+
+
 def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """The value of each key, 0 for those without one."""
     if not len(keys):
@@ -362,16 +387,22 @@ def fit_pairs(q: np.ndarray, n: np.ndarray, group: np.ndarray, total: np.ndarray
     return w, 1 + np.bincount(group, weights=q * np.expm1(w), minlength=len(total))
 
 
-def _train_pairs(held, least: int):
-    """Weights of the pairs that occur ``least`` times, group by group where their counts lie."""
-    schema = pa.schema([("k", pa.binary()), ("w", pa.binary()), ("g", pa.binary()), ("z", pa.binary())])
+_WEIGHTS = "p int, k binary, w binary, g binary, z binary"
+
+
+def _train_pairs(held, head: int, parts: int):
+    """Weights of pairs, group by group where their counts lie: those of pairs that occur ``head`` times in rows of partition -1, the others by partition of their keys.
+
+    There ``k`` and ``w`` have pairs and groups alike: what each adds to the logarithm.
+    """
+    schema = pa.schema([("p", pa.int32()), *((x, pa.binary()) for x in "kwgz")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         names = np.append(model.word, START)
         for k, n in _cells(batches):
             whole = (k & GROUP) > 0
-            pair = ~whole & (n >= least)
+            pair = ~whole
             if not pair.any():
                 continue
             before, word = k[pair] >> 32, k[pair] & 0xFFFFFFFF
@@ -380,27 +411,47 @@ def _train_pairs(held, least: int):
             total = n[whole][np.searchsorted(k[whole], groups)].astype(float)  # numbers ascend
             share = (model.count[word] + 1) / 10 ** model.weight[c]
             w, z = fit_pairs(share, n[pair].astype(float), group, total)
-            ln, g = np.log(10), group_keys(names[groups >> 32], (groups & 0xFFFFFFFF) - GROUP)
-            yield _arrow([{"k": pair_keys(names[before], model.word[word]).tobytes(), "w": (w / ln).astype(np.float32).tobytes(), "g": g.tobytes(), "z": (np.log(z) / ln).astype(np.float32).tobytes()}], schema)
+            w, z = (w / np.log(10)).astype(np.float32), (np.log(z) / np.log(10)).astype(np.float32)
+            key, g = pair_keys(names[before], model.word[word]), group_keys(names[groups >> 32], (groups & 0xFFFFFFFF) - GROUP)
+            often = n[pair] >= head
+            here = np.zeros(len(groups), dtype=bool)
+            here[group[often]] = True
+            if often.any():
+                yield _arrow([{"p": -1, "k": key[often].tobytes(), "w": w[often].tobytes(), "g": g[here].tobytes(), "z": z[here].tobytes()}], schema)
+            keys, values = np.concatenate([key[~often], g[~here]]), np.concatenate([w[~often], -z[~here]])
+            part = (keys % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in range(parts):
+                own = order[cuts[p] : cuts[p + 1]]
+                for at in range(0, len(own), CELL):
+                    yield _arrow([{"p": p, "k": keys[own[at : at + CELL]].tobytes(), "w": values[own[at : at + CELL]].tobytes(), "g": b"", "z": b""}], schema)
 
     return run
 
 
-def learn_pairs(rows: DataFrame, model: Model, parts: int) -> None:
-    """Adds the weights of the most frequent word pairs to the model; all training texts are counted."""
+def learn_pairs(rows: DataFrame, model: Model, parts: int) -> DataFrame | None:
+    """Weights of all word pairs that occur ``LEAST`` times; all training texts are counted.
+
+    The most frequent ones are added to the model; where there are others, they
+    are returned by partition of their keys.
+    """
     held = rows.sparkSession.sparkContext.broadcast(model)
     packed = rows.mapInArrow(_gather_pairs(held, parts), _PAIRED)
     counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_frequent_pairs, _PAIRED))
     seen = counts.mapInArrow(_histogram, "n long, pairs long").groupBy("n").agg(F.sum("pairs").alias("pairs"))
     running = F.sum("pairs").over(Window.orderBy(F.desc("n")))
-    least = seen.orderBy(F.desc("n")).limit(PAIRS).withColumn("all", running).where(F.col("all") <= PAIRS).agg(F.min("n")).first()[0]
-    if least is None:
-        return
-    got = counts.mapInArrow(_train_pairs(held, least), "k binary, w binary, g binary, z binary").collect()  # PAIRS pairs at most
+    head = seen.orderBy(F.desc("n")).limit(PAIRS + 1).withColumn("all", running).where(F.col("all") <= PAIRS).agg(F.min("n")).first()[0]
+    trained = save(counts.mapInArrow(_train_pairs(held, 1 << 62 if head is None else head, parts), _WEIGHTS))
     drop(counts)
-    k, w, g, z = (np.concatenate([np.frombuffer(r[j], dtype=t) for r in got]) for j, t in enumerate((U, np.float32, U, np.float32)))
-    order, by = np.argsort(k), np.argsort(g)
-    model.pair, model.pair_weight, model.group_of_pairs, model.group_sum = k[order], w[order], g[by], z[by]
+    got = trained.where("p < 0").select("k", "w", "g", "z").collect()  # PAIRS pairs at most
+    if got:
+        k, w, g, z = (np.concatenate([np.frombuffer(r[j], dtype=t) for r in got]) for j, t in enumerate((U, np.float32, U, np.float32)))
+        order, by = np.argsort(k), np.argsort(g)
+        model.pair, model.pair_weight, model.group_of_pairs, model.group_sum = k[order], w[order], g[by], z[by]
+    rest = trained.where("p >= 0")
+    model.more_pairs = bool(rest.limit(1).count())
+    return rest if model.more_pairs else None
 
 
 def histories(c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -473,51 +524,55 @@ class Weights:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _gradient(w: np.ndarray):
-    """Observed and expected counts of a task's histories, by feature."""
-    schema = pa.schema([("seen", pa.binary()), ("expected", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(w.astype(float))
-        seen, expected = np.zeros(w.shape), np.zeros(w.shape)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64).reshape(-1, CLASSES).astype(float)
-            history = (batch.column(0).to_numpy().astype(np.int64)[:, None] * HISTORY + np.arange(HISTORY)).ravel()
-            history, n = history[n.any(1)], n[n.any(1)]
-            p = np.exp(weights.logs(history)) * n.sum(1, keepdims=True)
-            for f in weights.features(history).T:
-                np.add.at(seen, f, n)
-                np.add.at(expected, f, p)
-        yield _arrow([{"seen": seen.astype(np.float32).tobytes(), "expected": expected.astype(np.float32).tobytes()}], schema)
-
-    return run
-
-
-def train(statistics: DataFrame, parts: int = 4) -> Weights:
-    """Ascends the likelihood by gradients summed over the partitions of the statistics.
+def ascended(history: np.ndarray, n: np.ndarray) -> Weights:
+    """Weights that ascend the likelihood of the counts by class of each history.
 
     A weight moves by its gradient over the larger of its observed and expected
     counts, so that rare and frequent features learn at one pace.
     """
-    held = save(statistics.repartition(parts, "two").sortWithinPartitions("two").mapInArrow(_sum_matrices, "two int, n binary"))
     weights = Weights()
+    features = Weights.features(history).T
+    total = n.sum(1, keepdims=True)
+
+    def by_feature(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(weights.w.shape)
+        for f in features:
+            np.add.at(out, f, x)
+        return out
+
+    seen = by_feature(n)
     for step in range(STEPS):
-        seen = expected = 0.0
-        for r in held.coalesce(parts).mapInArrow(_gradient(weights.w.astype(np.float32)), "seen binary, expected binary").collect():  # ``parts`` rows or fewer
-            seen = seen + np.frombuffer(r.seen, dtype=np.float32).astype(float).reshape(weights.w.shape)
-            expected = expected + np.frombuffer(r.expected, dtype=np.float32).astype(float).reshape(weights.w.shape)
-        if np.isscalar(seen):
-            break
+        expected = by_feature(np.exp(weights.logs(history)) * total)
         move = (seen - expected) / (np.maximum(seen, expected) + 2.0)
         move -= 0.02 * weights.w / (1 + np.maximum(seen, expected))  # a slight pull to zero
         weights.w = weights.w + RATE / (1 + 0.05 * step) * np.where(np.arange(len(move))[:, None] == 0, 1.0, 0.5) * move
     return weights
 
 
+def _ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all summed counts, whose size is fixed, the weights."""
+    matrices = [(two, n) for batch in batches for two, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if matrices:
+        n = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, CLASSES) for _, x in matrices]).astype(float)
+        history = np.concatenate([two * HISTORY + np.arange(HISTORY) for two, _ in matrices])
+        some = n.any(1)
+        yield pa.RecordBatch.from_pydict({"w": pa.array([ascended(history[some], n[some]).w.tobytes()], pa.binary())})
+
+
+def train(statistics: DataFrame, parts: int = 4) -> Weights:
+    """The weights, from counts that are summed over partitions; the driver gets nothing but the weights."""
+    held = statistics.repartition(parts, "two").sortWithinPartitions("two").mapInArrow(_sum_matrices, "two int, n binary")
+    got = held.repartition(1).mapInArrow(_ascend, "w binary").collect()  # one row or none
+    return Weights(np.frombuffer(got[0].w, dtype=float).reshape(Weights().w.shape).copy()) if got else Weights()
+
+
 def learn(rows: DataFrame, parts: int) -> tuple[Model, DataFrame]:
     """The model, and the partitioned counts of all words, from the rows whose ``train`` is true."""
+    return learn_all(rows, parts)[:2]
+
+
+def learn_all(rows: DataFrame, parts: int) -> tuple[Model, DataFrame, DataFrame | None]:
+    """``learn``, and the weights of pairs that the model doesn't hold, if there are any."""
     packed = rows.mapInArrow(_gather(parts), _PACKED)
     counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_merge, _PACKED))
     summary = save(counts.mapInArrow(_summary, "h long, n long, kind int, v long"))
@@ -526,7 +581,7 @@ def learn(rows: DataFrame, parts: int) -> tuple[Model, DataFrame]:
     model = Model()
     model.n, model.v = sum(r.n for r in totals), sum(r.v for r in totals)
     if not model.n:
-        return model, counts
+        return model, counts, None
     h, n = top.column("h").to_numpy().view(U), top.column("n").to_numpy()
     kind = top.column("kind").to_numpy()
     group = np.full(len(h), -1, dtype=np.int16)
@@ -549,8 +604,7 @@ def learn(rows: DataFrame, parts: int) -> tuple[Model, DataFrame]:
     statistics = rows.mapInArrow(_statistics(model), "two int, n binary")
     weights = train(statistics)
     model.table = (weights.logs(np.arange(HISTORY * HISTORY)) / np.log(10)).reshape(HISTORY, HISTORY, CLASSES).astype(np.float32)
-    learn_pairs(rows, model, parts)
-    return model, counts
+    return model, counts, learn_pairs(rows, model, parts)
 
 
 _BLOCK = "p int, block long, kind int, ids binary, a binary, b binary, c binary"
@@ -579,10 +633,15 @@ def _score(held, parts: int):
                 size = np.diff(bounds)
                 sums = [np.bincount(doc, weights=x, minlength=m) for x in (base, lm, (count > 0).astype(float))]
                 rows = [{"p": -1, "block": block, "kind": 0, "ids": ids[first:end].tobytes(), "a": np.concatenate(sums).tobytes(), "b": size.astype(np.int64).tobytes(), "c": has[first:end].tobytes()}]
-                rare = np.flatnonzero(~known)
-                if len(rare) and model.n:
-                    unique, inverse = np.unique(h[rare], return_inverse=True)
-                    pair, tf = np.unique(inverse.astype(np.int64) * m + doc[rare], return_counts=True)
+                asked = [(0, h[~known], doc[~known])]
+                if model.more_pairs:
+                    keys, at = model.pairs_elsewhere(h, c, known, bounds)
+                    asked.append((parts, keys, doc[at]))
+                for offset, keys, of in asked:  # those of pairs go to partitions of their own
+                    if not len(keys) or not model.n:
+                        continue
+                    unique, inverse = np.unique(keys, return_inverse=True)
+                    pair, tf = np.unique(inverse.astype(np.int64) * m + of, return_counts=True)
                     word_at, doc_at = pair // m, pair % m
                     part = (unique % U(parts)).astype(np.int64)[word_at]
                     order = np.argsort(part, kind="stable")
@@ -590,38 +649,47 @@ def _score(held, parts: int):
                     for p in range(parts):
                         own = order[cuts[p] : cuts[p + 1]]
                         if len(own):
-                            rows.append({"p": p, "block": block, "kind": 1, "ids": np.int64(m).tobytes(), "a": unique[word_at[own]].tobytes(), "b": doc_at[own].astype(np.int32).tobytes(), "c": tf[own].astype(np.int32).tobytes()})
+                            rows.append({"p": offset + p, "block": block, "kind": 1, "ids": np.int64(m).tobytes(), "a": unique[word_at[own]].tobytes(), "b": doc_at[own].astype(np.int32).tobytes(), "c": tf[own].astype(np.int32).tobytes()})
                 yield _arrow(rows, _BLOCK_ARROW)
                 block += 1
 
     return run
 
 
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition come first (kind 0); then each block's words get their sums."""
+def _look_up(parts: int):
+    """``_looked_up`` for words in partitions below ``parts`` and pairs in those from it on."""
+    return lambda batches: _looked_up(batches, parts)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts or weights of a partition come first (kind 0); then each block's words or pairs get their sums."""
     part, words, counts = None, np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     for batch in batches:
         out = []
         for p, block, kind, ids, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if kind == 0:
+                value = np.int64 if p < parts else np.float32
+                several = p == part or p >= parts
                 if p != part:
-                    part, words, counts = p, np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-                words, counts = np.append(words, np.frombuffer(a, dtype=U)), np.append(counts, np.frombuffer(b, dtype=np.int64))
-                if len(words) > CELL:  # several cells, in any order
+                    part, words, counts = p, np.zeros(0, dtype=U), np.zeros(0, dtype=value)
+                words, counts = np.append(words, np.frombuffer(a, dtype=U)), np.append(counts, np.frombuffer(b, dtype=value))
+                if several:  # several cells, in any order
                     order = np.argsort(words, kind="stable")
                     words, counts = words[order], counts[order]
                 continue
             m = int(np.frombuffer(ids, dtype=np.int64)[0])
             h, doc, tf = np.frombuffer(a, dtype=U), np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32)
-            n = np.zeros(len(h), dtype=np.int64)
+            n = np.zeros(len(h), dtype=np.int64 if p < parts else float)
             if part == p and len(words):
                 at = np.searchsorted(words, h)
                 at[at == len(words)] = 0
                 hit = words[at] == h
                 n[hit] = counts[at[hit]]
-            seen = n > 0
-            gain = np.bincount(doc, weights=tf * np.log10(n + 1.0), minlength=m)
-            sums = np.concatenate([gain, gain, np.bincount(doc, weights=tf * seen, minlength=m)])
+            if p < parts:
+                gain = np.bincount(doc, weights=tf * np.log10(n + 1.0), minlength=m)
+                sums = np.concatenate([gain, gain, np.bincount(doc, weights=tf * (n > 0), minlength=m)])
+            else:
+                sums = np.concatenate([np.zeros(m), np.bincount(doc, weights=tf * n, minlength=m), np.zeros(m)])
             out.append({"p": p, "block": block, "kind": 1, "ids": ids, "a": sums.tobytes(), "b": b"", "c": b""})
         yield _arrow(out, _BLOCK_ARROW)
 
@@ -661,14 +729,16 @@ def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
-    model, counts = learn(rows, parts)
+    model, counts, pairs = learn_all(rows, parts)
     held = spark.sparkContext.broadcast(model)
     # written once: the blocks' numbers hold for their own and their words' rows alike
     blocks = save(rows.mapInArrow(_score(held, parts), _BLOCK))
     empty = F.lit(b"")
     tables = counts.select("p", F.lit(0).cast("long").alias("block"), F.lit(0).alias("kind"), empty.alias("ids"), F.col("h").alias("a"), F.col("n").alias("b"), empty.alias("c"))
+    if pairs is not None:
+        tables = tables.union(pairs.select(F.col("p") + F.lit(parts), F.lit(0).cast("long"), F.lit(0), empty, F.col("k"), F.col("w"), empty))
     asked = tables.union(blocks.where("kind = 1")).repartition(parts, "p").sortWithinPartitions("p", "kind")
-    found = asked.mapInArrow(_look_up, _BLOCK)
+    found = asked.mapInArrow(_look_up(parts), _BLOCK)
     both = blocks.where("kind = 0").union(found).repartition("block").sortWithinPartitions("block", "kind")
     out = both.mapInArrow(_total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))

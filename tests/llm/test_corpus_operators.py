@@ -448,3 +448,29 @@ def test_pipeline_stages(spark):
     assert four.columns == docs.columns and four.count() == len(kept - bad)
     last = corpus_pipeline.pieces(spark, four, at)
     assert last.where("not round_trip").count() == 0 and last.count() == len(kept - bad)
+
+
+def test_language_model_weighs_all_pairs_wherever_they_are_held(spark, monkeypatch):
+    """Scores don't depend on how many pairs every task holds: others are looked up, and none is dropped."""
+    rng = random.Random(17)
+    pool = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(200)]
+    follow = {w: rng.sample(pool, 2) for w in pool}
+    texts = ["", None]
+    for _ in range(200):
+        w = [rng.choice(pool)]
+        for _ in range(rng.randint(0, 40)):
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.8 else rng.choice(pool))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") % 7 != 2
+    rows = docs.select("doc_id", "text", train.alias("train"))
+    scores = []
+    for pairs in (1 << 18, 40, 0):
+        monkeypatch.setattr(maxent, "PAIRS", pairs)
+        monkeypatch.setattr(maxent, "CELL", 30)
+        model, _, more = maxent.learn_all(rows, 3)
+        assert len(model.pair) <= pairs and (more is None) == (pairs > 1000)
+        scores.append({r.doc_id: r.score for r in maxent.score_texts(docs, train, parts=3).collect()})
+    for other in scores[1:]:
+        assert set(other) == set(scores[0])
+        assert all(other[k] == pytest.approx(v, rel=1e-6) for k, v in scores[0].items())
