@@ -47,6 +47,8 @@ TEXTS = 4_000_000
 MERGE = 2_000_000
 #: Pairs of words whose weights every task holds at most (the most frequent ones; others are looked up), and how often one must occur.
 PAIRS, LEAST = 1 << 18, 5
+#: Bits of the filter over the pairs and groups that are looked up: what it lets through in vain is asked for in vain.
+FILTER = 1 << 26
 #: Words in a stored cell at most.
 CELL = 4_000_000
 END = U(0x5EED0FE4D5EED0FE)
@@ -174,6 +176,8 @@ class Model:
 
     #: Whether there are weights of pairs beyond those held here.
     more_pairs: bool = False
+    #: A filter over their keys, by partition and then by hash, packed.
+    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint8))
     n: int = 0
     v: int = 0
     #: Hashes of frequent words, ascending, with their counts and classes.
@@ -206,7 +210,7 @@ class Model:
         """The class of frequent words that have none of their own."""
         return OWN + self.kind[place].astype(np.int64)
 
-    def pairs_elsewhere(self, h: np.ndarray, c: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_elsewhere(self, h: np.ndarray, c: np.ndarray, known: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """(keys of pairs and groups that may have a weight which is not held here, the tokens they belong to)."""
         before, there = words_before(h, bounds), np.empty_like(known)
         there[1:] = known[:-1]
@@ -215,7 +219,10 @@ class Model:
         both = own[known[own]]
         out = []
         for held, keys, at in ((self.pair, pair_keys(before[both], h[both]), both), (self.group_of_pairs, group_keys(before[own], c[own]), own)):
-            new = ~_held(held, keys)
+            size = U(len(self.bits) // parts * 8)
+            bit = (keys % U(parts)) * size + mix(keys + U(11)) % size
+            new = (self.bits[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 == 1
+            new[new] = ~_held(held, keys[new])
             out.append((keys[new], at[new]))
         return tuple(np.concatenate([x[j] for x in out]) for j in range(2))
 
@@ -241,6 +248,30 @@ def group_keys(before: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(mix(before + U(5)) + c.astype(U))
 
 
+def filter_size(parts: int) -> int:
+    """Bits of the filter for each partition: whole bytes."""
+    return max(1, FILTER // parts // 8) * 8
+
+
+def _filters(size: int):
+    """The part of the filter of each partition, whose rows stand together; packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("p", pa.int32()), ("bits", pa.binary())])
+        key, bits = None, None
+        for batch in batches:
+            for p, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != key:
+                    if key is not None:
+                        yield _arrow([{"p": key, "bits": np.packbits(bits, bitorder="little").tobytes()}], schema)
+                    key, bits = p, np.zeros(size, dtype=bool)
+                bits[(mix(np.frombuffer(k, dtype=U) + U(11)) % U(size)).astype(np.int64)] = True
+        if key is not None:
+            yield _arrow([{"p": key, "bits": np.packbits(bits, bitorder="little").tobytes()}], schema)
+
+    return run
+
+
 def _held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Whether each key is there."""
     if not len(keys):
@@ -449,9 +480,18 @@ def learn_pairs(rows: DataFrame, model: Model, parts: int) -> DataFrame | None:
         k, w, g, z = (np.concatenate([np.frombuffer(r[j], dtype=t) for r in got]) for j, t in enumerate((U, np.float32, U, np.float32)))
         order, by = np.argsort(k), np.argsort(g)
         model.pair, model.pair_weight, model.group_of_pairs, model.group_sum = k[order], w[order], g[by], z[by]
-    rest = trained.where("p >= 0")
-    model.more_pairs = bool(rest.limit(1).count())
-    return rest if model.more_pairs else None
+    rest = trained.where("p >= 0").select("p", "k", "w")
+    size = filter_size(parts)
+    by_part = rest.select("p", "k").repartition(parts, "p").sortWithinPartitions("p")
+    filters = by_part.mapInArrow(_filters(size), "p int, bits binary").collect()  # ``FILTER`` bits in all
+    model.more_pairs = bool(filters)
+    if not filters:
+        return None
+    bits = np.zeros((parts, size // 8), dtype=np.uint8)
+    for r in filters:
+        bits[r.p] = np.frombuffer(r.bits, dtype=np.uint8)
+    model.bits = bits.ravel()
+    return rest
 
 
 def histories(c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -635,7 +675,7 @@ def _score(held, parts: int):
                 rows = [{"p": -1, "block": block, "kind": 0, "ids": ids[first:end].tobytes(), "a": np.concatenate(sums).tobytes(), "b": size.astype(np.int64).tobytes(), "c": has[first:end].tobytes()}]
                 asked = [(0, h[~known], doc[~known])]
                 if model.more_pairs:
-                    keys, at = model.pairs_elsewhere(h, c, known, bounds)
+                    keys, at = model.pairs_elsewhere(h, c, known, bounds, parts)
                     asked.append((parts, keys, doc[at]))
                 for offset, keys, of in asked:  # those of pairs go to partitions of their own
                     if not len(keys) or not model.n:

@@ -468,6 +468,7 @@ def test_language_model_weighs_all_pairs_wherever_they_are_held(spark, monkeypat
     for pairs in (1 << 18, 40, 0):
         monkeypatch.setattr(maxent, "PAIRS", pairs)
         monkeypatch.setattr(maxent, "CELL", 30)
+        monkeypatch.setattr(maxent, "FILTER", 1 << 12 if pairs else 1 << 20)
         model, _, more = maxent.learn_all(rows, 3)
         assert len(model.pair) <= pairs and (more is None) == (pairs > 1000)
         scores.append({r.doc_id: r.score for r in maxent.score_texts(docs, train, parts=3).collect()})
