@@ -12,12 +12,15 @@ from the counts of the class's words and has a weight for each frequent pair of
 words (word bigrams, by their hash); the pairs of one word before and one class
 make a softmax of their own, so each is trained where its counts lie.  The word
 counts and the weights of pairs are tables that grow with the corpus: they stay
-partitioned by hash, and documents send their rare words and pairs there in
-packed arrays, a block of documents at a time.
+partitioned by hash, and documents ask for their rare words and pairs there, many
+documents together, each word or pair once.  What travels is packed: ascending
+numbers take two bits more than the logarithm of their mean distance
+(``pack_ascending``), and the answers come back in the order of the questions.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,8 +44,10 @@ BUCKETS = 4096
 STEPS, RATE = 25, 0.9
 #: Frequent words whose counts every task holds (16 bytes each).
 FREQUENT = 65_536
-#: Bytes of texts whose rare words are looked up together.
+#: Bytes of texts that are scored at once.
 TEXTS = 4_000_000
+#: Rare words and pairs, and texts, that are looked up together, about.
+ASKED, TOGETHER = 1 << 20, 1 << 16
 #: Distinct words that a task holds before it merges them.
 MERGE = 2_000_000
 #: Pairs of words whose weights every task holds at most (the most frequent ones; others are looked up), and how often one must occur.
@@ -81,6 +86,73 @@ def _tally(h: np.ndarray, kind: np.ndarray, n: np.ndarray | None = None) -> tupl
     return unique, kind[first], np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
 
 
+def pack_bits(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each number: whole bytes by place, then the bits that are left."""
+    whole, left = divmod(width, 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    rest = np.packbits(planes[:, whole, None] >> np.arange(left, dtype=np.uint8) & 1) if left else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes[:, :whole].T).tobytes() + rest.tobytes()
+
+
+def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    """What ``pack_bits`` packed of n numbers, from the start of the bytes."""
+    whole, left = divmod(width, 8)
+    planes = np.zeros((n, 8), dtype=np.uint8)
+    planes[:, :whole] = data[: whole * n].reshape(whole, n).T
+    if left:
+        bits = np.unpackbits(data[whole * n :], count=n * left).reshape(n, left)
+        planes[:, whole] = (bits << np.arange(left, dtype=np.uint8)).sum(1, dtype=np.uint8)
+    return planes.view("<u8").ravel().astype(U)
+
+
+_HEAD = np.dtype([("n", "<i8"), ("first", "<u8"), ("width", "<i8")])
+
+
+def pack_ascending(x: np.ndarray) -> bytes:
+    """Numbers that never descend, by Elias and Fano: the low bits of each, and the high ones as steps in a row of bits."""
+    if not len(x):
+        return b""
+    x = x.astype(U)
+    width = max(0, ((int(x[-1]) - int(x[0])) // len(x)).bit_length() - 1)
+    x0, x = x[0], x - x[0]
+    at = (x >> U(width)).astype(np.int64) + np.arange(len(x))
+    steps = np.zeros(at[-1] + 1, dtype=bool)
+    steps[at] = True
+    return np.array([(len(x), x0, width)], dtype=_HEAD).tobytes() + pack_bits(x, width) + np.packbits(steps).tobytes()
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=U)
+    n, first, width = np.frombuffer(data, dtype=_HEAD, count=1)[0].tolist()
+    body = np.frombuffer(data, dtype=np.uint8, offset=_HEAD.itemsize)
+    low = width // 8 * n + (width % 8 * n + 7) // 8
+    steps = np.flatnonzero(np.unpackbits(body[low:]))
+    return ((steps - np.arange(n)).astype(U) << U(width)) + unpack_bits(body, n, width) + U(first)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte each, those of 255 and more again behind them."""
+    return zlib.compress(np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes(), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
+    m = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    n = np.frombuffer(data, dtype=np.uint8, count=m, offset=8).astype(np.int64)
+    n[n == 255] = np.frombuffer(data[8 + m :], dtype=np.int64)
+    return n
+
+
+def _join(*parts: bytes) -> bytes:
+    return np.array([len(x) for x in parts], dtype=np.int64).tobytes() + b"".join(parts)
+
+
+def _split(data: bytes, n: int) -> list[bytes]:
+    ends = 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, dtype=np.int64, count=n))])
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 _PACKED = "p int, h binary, kind binary, n binary"
 
 
@@ -110,7 +182,7 @@ def _gather(parts: int):
             for p in range(parts):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
-                    yield _arrow([_pack(p, h[own], kind[own], n[own])], _PACKED_ARROW)
+                    yield _arrow([{"p": p, "h": pack_ascending(h[own] // U(parts)), "kind": zlib.compress(kind[own].tobytes(), 1), "n": pack_counts(n[own])}], _PACKED_ARROW)
 
         for batch in batches:
             texts = batch.column(1).filter(batch.column(2))
@@ -130,13 +202,16 @@ def _gather(parts: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p, h, kind, n in _merged(batches):
-        for at in range(0, len(h), CELL):
-            yield _arrow([_pack(p, h[at : at + CELL], kind[at : at + CELL], n[at : at + CELL])], _PACKED_ARROW)
+def _merge(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, h, kind, n in _merged(batches, parts):
+            for at in range(0, len(h), CELL):
+                yield _arrow([_pack(p, h[at : at + CELL], kind[at : at + CELL], n[at : at + CELL])], _PACKED_ARROW)
+
+    return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _merged(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """One table of counts a partition, merged as the rows stream by."""
     key, held, size = None, [], 0
 
@@ -149,7 +224,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 yield (key, *one())
                 held, size = [], 0
             key = p
-            held.append((np.frombuffer(h, dtype=U), np.frombuffer(kind, dtype=np.uint8), np.frombuffer(n, dtype=np.int64)))
+            held.append((unpack_ascending(h) * U(parts) + U(p), np.frombuffer(zlib.decompress(kind), dtype=np.uint8), unpack_counts(n)))
             size += len(held[-1][0])
             if len(held) > 1 and size > 2 * len(held[0][0]) + MERGE:
                 held = [one()]
@@ -197,33 +272,33 @@ class Model:
 
     def classes(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, count, whether the count is known here) of tokens."""
-        unique, inverse = np.unique(h, return_inverse=True)
-        at = np.searchsorted(self.word, unique)
-        at[at == len(self.word)] = 0
-        hit = self.word[at] == unique
-        at, hit = at[inverse], hit[inverse]
-        own = np.where(hit, self.group[at], -1)
-        return np.where(own >= 0, own, OWN + kind.astype(np.int16)), np.where(hit, self.count[at], 0), hit
+        place, known = _places(self.word, h)
+        return *self.classes_at(place, known, kind), known
 
+    def classes_at(self, place: np.ndarray, known: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, count) of tokens by their places among the frequent words."""
+        own = np.where(known, self.group[place], -1)
+        return np.where(own >= 0, own, OWN + kind.astype(np.int16)), np.where(known, self.count[place], 0)
 
     def shared_class(self, place: np.ndarray) -> np.ndarray:
         """The class of frequent words that have none of their own."""
         return OWN + self.kind[place].astype(np.int64)
 
-    def pairs_elsewhere(self, h: np.ndarray, c: np.ndarray, known: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of pairs and groups that may have a weight which is not held here, the tokens they belong to)."""
-        before, there = words_before(h, bounds), np.empty_like(known)
-        there[1:] = known[:-1]
-        there[bounds[:-1]] = True
+    def pairs_elsewhere(self, h: np.ndarray, place: np.ndarray, c: np.ndarray, known: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(``dense`` numbers of pairs and groups that may have a weight which is not held here, the tokens they belong to)."""
+        before, there = places_before(place, known, bounds, len(self.word))
         own = np.flatnonzero(there & (c >= OWN) & (c < CLASSES - 1))
         both = own[known[own]]
+        hashes = words_before(h, bounds)
         out = []
-        for held, keys, at in ((self.pair, pair_keys(before[both], h[both]), both), (self.group_of_pairs, group_keys(before[own], c[own]), own)):
+        for held, low, at in ((self.pair, place[both], both), (self.group_of_pairs, GROUP + c[own].astype(np.int64), own)):
+            number = dense(before[at].astype(np.int64) << 32 | low, len(self.word))
             size = U(len(self.bits) // parts * 8)
-            bit = (keys % U(parts)) * size + mix(keys + U(11)) % size
+            bit = number % U(parts) * size + filter_bit(number, size)
             new = (self.bits[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 == 1
-            new[new] = ~_held(held, keys[new])
-            out.append((keys[new], at[new]))
+            number, at = number[new], at[new]
+            some = ~_held(held, pair_keys(hashes[at], h[at]) if held is self.pair else group_keys(hashes[at], c[at]))
+            out.append((number[some], at[some]))
         return tuple(np.concatenate([x[j] for x in out]) for j in range(2))
 
     def word_factor(self, h: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -240,6 +315,14 @@ def words_before(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def places_before(place: np.ndarray, known: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word before each token, ``words`` at the start of a text; whether it is known)."""
+    before, there = np.empty_like(place), np.empty_like(known)
+    before[1:], there[1:] = place[:-1], known[:-1]
+    before[bounds[:-1]], there[bounds[:-1]] = words, True
+    return before, there
+
+
 def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(mix(before + U(3)) + h)
 
@@ -253,7 +336,11 @@ def filter_size(parts: int) -> int:
     return max(1, FILTER // parts // 8) * 8
 
 
-def _filters(size: int):
+def filter_bit(number: np.ndarray, size: np.uint64) -> np.ndarray:
+    return mix(number + U(11)) % size
+
+
+def _filters(size: int, parts: int):
     """The part of the filter of each partition, whose rows stand together; packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +352,7 @@ def _filters(size: int):
                     if key is not None:
                         yield _arrow([{"p": key, "bits": np.packbits(bits, bitorder="little").tobytes()}], schema)
                     key, bits = p, np.zeros(size, dtype=bool)
-                bits[(mix(np.frombuffer(k, dtype=U) + U(11)) % U(size)).astype(np.int64)] = True
+                bits[filter_bit(unpack_ascending(k) * U(parts) + U(p), U(size)).astype(np.int64)] = True
         if key is not None:
             yield _arrow([{"p": key, "bits": np.packbits(bits, bitorder="little").tobytes()}], schema)
 
@@ -296,6 +383,18 @@ _PAIRED_ARROW = pa.schema([("p", pa.int32()), ("k", pa.binary()), ("n", pa.binar
 GROUP = 1 << 31
 
 
+def dense(k: np.ndarray, words: int, parts: int = 1) -> np.ndarray:
+    """Numbers of pairs and groups without gaps, in the same order; words before count in steps of ``parts``."""
+    low = k & 0xFFFFFFFF
+    return ((k >> 32) // parts * (words + CLASSES) + np.where(low >= GROUP, low - GROUP + words, low)).astype(U)
+
+
+def spread(d: np.ndarray, words: int, parts: int = 1, p: int = 0) -> np.ndarray:
+    """The numbers that ``dense`` made d of, those of words before that leave p."""
+    high, low = np.divmod(d.astype(np.int64), words + CLASSES)
+    return (high * parts + p) << 32 | np.where(low >= words, low - words + GROUP, low)
+
+
 def _sum_pairs(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(k, return_inverse=True)
     return unique, np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
@@ -321,18 +420,15 @@ def _gather_pairs(held, parts: int):
             for p in range(parts):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
-                    yield _arrow([{"p": p, "k": k[own].tobytes(), "n": n[own].astype(np.int32).tobytes()}], _PAIRED_ARROW)
+                    yield _arrow([{"p": p, "k": pack_ascending(dense(k[own], len(model.word), parts)), "n": pack_counts(n[own])}], _PAIRED_ARROW)
 
         for batch in batches:
             texts = batch.column(1).filter(batch.column(2))
             for _, _, data, offsets in chunks(texts):
                 h, kind, bounds = tokens(data, offsets)
                 place, known = _places(model.word, h)
-                c = model.classes(h, kind)[0]
-                first = bounds[:-1]
-                before, there = np.empty_like(place), np.empty_like(known)
-                before[1:], there[1:] = place[:-1], known[:-1]
-                before[first], there[first] = len(model.word), True
+                c = model.classes_at(place, known, kind)[0]
+                before, there = places_before(place, known, bounds, len(model.word))
                 own = there & (c >= OWN) & (c < CLASSES - 1)
                 high = before[own].astype(np.int64) << 32
                 some = known[own]
@@ -359,7 +455,7 @@ def _places(words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[inverse], (words[at] == unique)[inverse]
 
 
-def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+def _merged_pairs(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> Iterator[tuple[int, tuple]]:
     """Of each partition all its pairs and groups, summed as the rows stream by."""
     key, kept, size = None, [], 0
     for batch in batches:
@@ -368,7 +464,7 @@ def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tupl
                 yield key, _sum_pairs(*(np.concatenate([x[j] for x in kept]) for j in range(2)))
                 kept, size = [], 0
             key = p
-            kept.append((np.frombuffer(k, dtype=np.int64), np.frombuffer(n, dtype=np.int32).astype(np.int64)))
+            kept.append((spread(unpack_ascending(k), words, parts, p), unpack_counts(n)))
             size += len(kept[-1][0])
             if len(kept) > 1 and size > 2 * len(kept[0][0]) + MERGE:
                 kept = [_sum_pairs(*(np.concatenate([x[j] for x in kept]) for j in range(2)))]
@@ -377,14 +473,18 @@ def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tupl
         yield key, _sum_pairs(*(np.concatenate([x[j] for x in kept]) for j in range(2)))
 
 
-def _frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent_pairs(words: int, parts: int):
     """Of each partition the pairs that occur ``LEAST`` times, and the groups of their words before."""
-    for p, (k, n) in _merged_pairs(batches):
-        group = (k & GROUP) > 0
-        good = ~group & (n >= LEAST)
-        good |= group & np.isin(k >> 32, (k >> 32)[good])
-        if good.any():
-            yield _arrow([{"p": p, "k": k[good].tobytes(), "n": n[good].tobytes()}], _PAIRED_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, (k, n) in _merged_pairs(batches, words, parts):
+            group = (k & GROUP) > 0
+            good = ~group & (n >= LEAST)
+            good |= group & np.isin(k >> 32, (k >> 32)[good])
+            if good.any():
+                yield _arrow([{"p": p, "k": k[good].tobytes(), "n": n[good].tobytes()}], _PAIRED_ARROW)
+
+    return run
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -422,9 +522,9 @@ _WEIGHTS = "p int, k binary, w binary, g binary, z binary"
 
 
 def _train_pairs(held, head: int, parts: int):
-    """Weights of pairs, group by group where their counts lie: those of pairs that occur ``head`` times in rows of partition -1, the others by partition of their keys.
+    """Weights of pairs, group by group where their counts lie: those of pairs that occur ``head`` times in rows of partition -1, the others by partition of their ``dense`` numbers.
 
-    There ``k`` and ``w`` have pairs and groups alike: what each adds to the logarithm.
+    There ``k``, packed, and ``w`` have pairs and groups alike: what each adds to the logarithm.
     """
     schema = pa.schema([("p", pa.int32()), *((x, pa.binary()) for x in "kwgz")])
 
@@ -449,14 +549,14 @@ def _train_pairs(held, head: int, parts: int):
             here[group[often]] = True
             if often.any():
                 yield _arrow([{"p": -1, "k": key[often].tobytes(), "w": w[often].tobytes(), "g": g[here].tobytes(), "z": z[here].tobytes()}], schema)
-            keys, values = np.concatenate([key[~often], g[~here]]), np.concatenate([w[~often], -z[~here]])
-            part = (keys % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            numbers, values = dense(np.concatenate([k[pair][~often], groups[~here]]), len(model.word)), np.concatenate([w[~often], -z[~here]])
+            part = (numbers % U(parts)).astype(np.int64)
+            order = np.lexsort((numbers, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 own = order[cuts[p] : cuts[p + 1]]
                 for at in range(0, len(own), CELL):
-                    yield _arrow([{"p": p, "k": keys[own[at : at + CELL]].tobytes(), "w": values[own[at : at + CELL]].tobytes(), "g": b"", "z": b""}], schema)
+                    yield _arrow([{"p": p, "k": pack_ascending(numbers[own[at : at + CELL]] // U(parts)), "w": values[own[at : at + CELL]].tobytes(), "g": b"", "z": b""}], schema)
 
     return run
 
@@ -465,11 +565,11 @@ def learn_pairs(rows: DataFrame, model: Model, parts: int) -> DataFrame | None:
     """Weights of all word pairs that occur ``LEAST`` times; all training texts are counted.
 
     The most frequent ones are added to the model; where there are others, they
-    are returned by partition of their keys.
+    are returned by partition of their ``dense`` numbers.
     """
     held = rows.sparkSession.sparkContext.broadcast(model)
     packed = rows.mapInArrow(_gather_pairs(held, parts), _PAIRED)
-    counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_frequent_pairs, _PAIRED))
+    counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_frequent_pairs(len(model.word), parts), _PAIRED))
     seen = counts.mapInArrow(_histogram, "n long, pairs long").groupBy("n").agg(F.sum("pairs").alias("pairs"))
     running = F.sum("pairs").over(Window.orderBy(F.desc("n")))
     head = seen.orderBy(F.desc("n")).limit(PAIRS + 1).withColumn("all", running).where(F.col("all") <= PAIRS).agg(F.min("n")).first()[0]
@@ -483,7 +583,7 @@ def learn_pairs(rows: DataFrame, model: Model, parts: int) -> DataFrame | None:
     rest = trained.where("p >= 0").select("p", "k", "w")
     size = filter_size(parts)
     by_part = rest.select("p", "k").repartition(parts, "p").sortWithinPartitions("p")
-    filters = by_part.mapInArrow(_filters(size), "p int, bits binary").collect()  # ``FILTER`` bits in all
+    filters = by_part.mapInArrow(_filters(size, parts), "p int, bits binary").collect()  # ``FILTER`` bits in all
     model.more_pairs = bool(filters)
     if not filters:
         return None
@@ -522,7 +622,7 @@ def _statistics(model: Model):
                 total += np.bincount((two * HISTORY + one) * CLASSES + c, minlength=len(total))
         rows = total.reshape(HISTORY, -1)
         for i in np.flatnonzero(rows.any(1)):
-            yield _arrow([{"two": int(i), "n": rows[i].tobytes()}], _MATRIX)
+            yield _arrow([{"two": int(i), "n": pack_counts(rows[i])}], _MATRIX)
 
     return run
 
@@ -535,13 +635,13 @@ def _sum_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     key, total = None, None
     for batch in batches:
         for two, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = np.frombuffer(n, dtype=np.int64)
+            n = unpack_counts(n)
             if two == key:
                 total += n
                 continue
             if key is not None:
                 yield _arrow([{"two": key, "n": total.tobytes()}], _MATRIX)
-            key, total = two, n.copy()
+            key, total = two, n
     if key is not None:
         yield _arrow([{"two": key, "n": total.tobytes()}], _MATRIX)
 
@@ -614,10 +714,11 @@ def learn(rows: DataFrame, parts: int) -> tuple[Model, DataFrame]:
 def learn_all(rows: DataFrame, parts: int) -> tuple[Model, DataFrame, DataFrame | None]:
     """``learn``, and the weights of pairs that the model doesn't hold, if there are any."""
     packed = rows.mapInArrow(_gather(parts), _PACKED)
-    counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_merge, _PACKED))
+    counts = save(packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_merge(parts), _PACKED))
     summary = save(counts.mapInArrow(_summary, "h long, n long, kind int, v long"))
     totals = summary.where("h is null").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     top = summary.where("h is not null").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    drop(summary)
     model = Model()
     model.n, model.v = sum(r.n for r in totals), sum(r.v for r in totals)
     if not model.n:
@@ -647,113 +748,169 @@ def learn_all(rows: DataFrame, parts: int) -> tuple[Model, DataFrame, DataFrame
     return model, counts, learn_pairs(rows, model, parts)
 
 
-_BLOCK = "p int, block long, kind int, ids binary, a binary, b binary, c binary"
-_BLOCK_ARROW = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_BLOCK = "p int, block long, kind int, a binary, b binary"
+_BLOCK_ARROW = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+#: Kinds of rows, in the order in which they are met: counts or weights of a partition, a block of texts, what a block asks for or is told.
+TABLE, OWN_ROW, ASKS = 0, 1, 2
+
+
+def _questions(keys: np.ndarray, doc: np.ndarray, m: int, parts: int) -> tuple[list[tuple[int, bytes]], bytes]:
+    """(partition and packed keys that are asked for there, each once; which of the m texts hold each, and how often).
+
+    The second part stays with the block: answers come in the order of the keys.
+    """
+    unique, inverse = np.unique(keys, return_inverse=True)
+    part = (unique % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(unique), dtype=np.int64)
+    rank[order] = np.arange(len(unique))
+    both, tf = np.unique(rank[inverse] * m + doc, return_counts=True)
+    at, of = both // m, both % m
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    unique = unique[order] // U(parts)
+    asks = [(p, pack_ascending(unique[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+    return asks, _join(pack_ascending(cuts), np.packbits(np.diff(at, prepend=-1).astype(bool)).tobytes(), pack_bits(of, (m - 1).bit_length()), pack_counts(tf))
 
 
 def _score(held, parts: int):
-    """Of each block of texts: a row with what can be said here, and one a partition with the rare words to look up."""
+    """Of each block of texts: a row with what can be said here, and one a partition with the rare words or pairs to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         block = TaskContext.get().partitionId() << 32
         logn = np.log10(model.n + model.v + 1)
+        texts, asked, m, size = [], ([], []), 0, 0
+
+        def rows():
+            ids, has, sizes = (np.concatenate([x[j] for x in texts]) for j in range(3))
+            sums = np.concatenate([x[3] for x in texts], axis=1)
+            out, lists = [], []
+            for offset, own in zip((0, parts), asked, strict=True):  # those of pairs go to partitions of their own
+                keys, doc = (np.concatenate([x[j] for x in own]) if own else np.zeros(0, t) for j, t in enumerate((U, np.int64)))
+                asks, where = _questions(keys, doc, m, parts) if len(keys) else ([], b"")
+                out += [{"p": offset + p, "block": block, "kind": ASKS, "a": a, "b": b""} for p, a in asks]
+                lists.append(where)
+            own = _join(ids.tobytes(), has.tobytes(), pack_counts(sizes), sums.tobytes())
+            yield _arrow([{"p": int(block + (block >> 32)) % (2 * parts), "block": block, "kind": OWN_ROW, "a": own, "b": _join(*lists)}], _BLOCK_ARROW)
+            for i in range(0, len(out), 1000):
+                yield _arrow(out[i : i + 1000], _BLOCK_ARROW)
+
         for batch in batches:
             ids, has = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, end, data, offsets in chunks(batch.column(1), TEXTS):
                 h, kind, bounds = tokens(data, offsets)
-                c, count, known = model.classes(h, kind)
+                place, known = _places(model.word, h)
+                c, count = model.classes_at(place, known, kind)
                 one, two = histories(c.astype(np.int64), bounds)
                 lm = model.table[two, one, c].astype(np.float64) - model.weight[c] + model.word_factor(h, c, bounds)
                 word = np.log10(count + 1.0)
                 base = np.where(known, word, 0.0) - logn
                 lm += np.where(known & (c >= OWN) & (c < CLASSES - 1), word, 0.0)
-                m = end - first
-                doc = np.repeat(np.arange(m), np.diff(bounds))
-                size = np.diff(bounds)
-                sums = [np.bincount(doc, weights=x, minlength=m) for x in (base, lm, (count > 0).astype(float))]
-                rows = [{"p": -1, "block": block, "kind": 0, "ids": ids[first:end].tobytes(), "a": np.concatenate(sums).tobytes(), "b": size.astype(np.int64).tobytes(), "c": has[first:end].tobytes()}]
-                asked = [(0, h[~known], doc[~known])]
+                doc = np.repeat(np.arange(end - first), np.diff(bounds))
+                sums = np.stack([np.bincount(doc, weights=x, minlength=end - first) for x in (base, lm, (count > 0).astype(float))])
+                texts.append((ids[first:end].copy(), has[first:end], np.diff(bounds), sums))
+                if model.n:
+                    asked[0].append((h[~known], m + doc[~known]))
                 if model.more_pairs:
-                    keys, at = model.pairs_elsewhere(h, c, known, bounds, parts)
-                    asked.append((parts, keys, doc[at]))
-                for offset, keys, of in asked:  # those of pairs go to partitions of their own
-                    if not len(keys) or not model.n:
-                        continue
-                    unique, inverse = np.unique(keys, return_inverse=True)
-                    pair, tf = np.unique(inverse.astype(np.int64) * m + of, return_counts=True)
-                    word_at, doc_at = pair // m, pair % m
-                    part = (unique % U(parts)).astype(np.int64)[word_at]
-                    order = np.argsort(part, kind="stable")
-                    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                    for p in range(parts):
-                        own = order[cuts[p] : cuts[p + 1]]
-                        if len(own):
-                            rows.append({"p": offset + p, "block": block, "kind": 1, "ids": np.int64(m).tobytes(), "a": unique[word_at[own]].tobytes(), "b": doc_at[own].astype(np.int32).tobytes(), "c": tf[own].astype(np.int32).tobytes()})
-                yield _arrow(rows, _BLOCK_ARROW)
-                block += 1
+                    numbers, at = model.pairs_elsewhere(h, place, c, known, bounds, parts)
+                    asked[1].append((numbers, m + doc[at]))
+                m += end - first
+                size += sum(len(own[-1][0]) for own in asked if own)
+                if size >= ASKED or m >= TOGETHER:
+                    yield from rows()
+                    block += 1
+                    texts, asked, m, size = [], ([], []), 0, 0
+        if texts:
+            yield from rows()
 
     return run
 
 
 def _look_up(parts: int):
-    """``_looked_up`` for words in partitions below ``parts`` and pairs in those from it on."""
-    return lambda batches: _looked_up(batches, parts)
+    """Answers what blocks ask for: counts of words in partitions below ``parts``, weights of pairs in those from it on.
 
+    A partition's counts or weights come first; blocks' own rows pass through.
+    """
 
-def _looked_up(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts or weights of a partition come first (kind 0); then each block's words or pairs get their sums."""
-    part, words, counts = None, np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        out = []
-        for p, block, kind, ids, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if kind == 0:
-                value = np.int64 if p < parts else np.float32
-                several = p == part or p >= parts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, cells, keys, values = None, [], np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            out = []
+            for p, block, kind, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if p != part:
-                    part, words, counts = p, np.zeros(0, dtype=U), np.zeros(0, dtype=value)
-                words, counts = np.append(words, np.frombuffer(a, dtype=U)), np.append(counts, np.frombuffer(b, dtype=value))
-                if several:  # several cells, in any order
-                    order = np.argsort(words, kind="stable")
-                    words, counts = words[order], counts[order]
-                continue
-            m = int(np.frombuffer(ids, dtype=np.int64)[0])
-            h, doc, tf = np.frombuffer(a, dtype=U), np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32)
-            n = np.zeros(len(h), dtype=np.int64 if p < parts else float)
-            if part == p and len(words):
-                at = np.searchsorted(words, h)
-                at[at == len(words)] = 0
-                hit = words[at] == h
-                n[hit] = counts[at[hit]]
-            if p < parts:
-                gain = np.bincount(doc, weights=tf * np.log10(n + 1.0), minlength=m)
-                sums = np.concatenate([gain, gain, np.bincount(doc, weights=tf * (n > 0), minlength=m)])
-            else:
-                sums = np.concatenate([np.zeros(m), np.bincount(doc, weights=tf * n, minlength=m), np.zeros(m)])
-            out.append({"p": p, "block": block, "kind": 1, "ids": ids, "a": sums.tobytes(), "b": b"", "c": b""})
-        yield _arrow(out, _BLOCK_ARROW)
-
-
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's own row comes first (kind 0); what was looked up is added."""
+                    part, cells = p, []
+                    keys, values = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64 if p < parts else np.float32)
+                if kind == TABLE:
+                    cells.append((np.frombuffer(a, dtype=U) // U(parts), np.frombuffer(b, dtype=np.int64)) if p < parts else (unpack_ascending(a), np.frombuffer(b, dtype=np.float32)))
+                    continue
+                if kind == OWN_ROW:
+                    out.append({"p": p, "block": block, "kind": kind, "a": a, "b": b})
+                    continue
+                if cells:  # in any order
+                    keys, values = (np.concatenate([x[j] for x in cells]) for j in range(2))
+                    order = np.argsort(keys, kind="stable")
+                    keys, values, cells = keys[order], values[order], []
+                told = _found(keys, values, unpack_ascending(a))
+                some = told != 0
+                told = pack_counts(told.astype(np.int64)) if p < parts else _join(np.packbits(some).tobytes(), told[some].astype(np.float32).tobytes())
+                out.append({"p": p, "block": block, "kind": kind, "a": told, "b": b""})
+            if out:
+                yield _arrow(out, _BLOCK_ARROW)
+
+    return run
+
+
+def _total(parts: int):
+    """A block's own row comes first; what was looked up is added."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    held = None
 
-    def out():
-        ids, has, size, sums = held
-        base, lm, known = sums.reshape(3, -1)
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=~has), pa.array(size), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(lm)], schema=schema)
+    def opened(a: bytes, b: bytes):
+        ids, has, sizes, sums = _split(a, 4)
+        ids, sizes = np.frombuffer(ids, dtype=np.int64), unpack_counts(sizes)
+        lists = []
+        for where in _split(b, 2):
+            if not where:
+                lists.append(None)
+                continue
+            cuts, new, of, tf = _split(where, 4)
+            cuts, tf = unpack_ascending(cuts).astype(np.int64), unpack_counts(tf)
+            at = np.cumsum(np.unpackbits(np.frombuffer(new, dtype=np.uint8), count=len(tf)), dtype=np.int64) - 1
+            of = unpack_bits(np.frombuffer(of, dtype=np.uint8), len(tf), (len(ids) - 1).bit_length()).astype(np.int64)
+            lists.append((cuts, at, of, tf, np.zeros(cuts[-1])))
+        return ids, np.frombuffer(has, dtype=bool), sizes, np.frombuffer(sums, dtype=float).reshape(3, -1).copy(), lists
+
+    def closed(ids, has, sizes, sums, lists):
+        words, pairs = lists
+        if words:
+            _, at, of, tf, n = words
+            gain = np.bincount(of, weights=tf * np.log10(n + 1)[at], minlength=len(ids))
+            sums += [gain, gain, np.bincount(of, weights=tf * (n > 0)[at], minlength=len(ids))]
+        if pairs:
+            _, at, of, tf, w = pairs
+            sums[1] += np.bincount(of, weights=tf * w[at], minlength=len(ids))
+        base, lm, known = sums
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=~has), pa.array(sizes), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(lm)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for p, _, kind, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind == OWN_ROW:
+                    if held:
+                        yield closed(*held)
+                    held = opened(a, b)
+                    continue
+                cuts, *_, told = held[4][p >= parts]
+                own = told[cuts[p % parts] : cuts[p % parts + 1]]
+                if p < parts:
+                    own[:] = unpack_counts(a)
+                else:
+                    some, w = _split(a, 2)
+                    own[np.unpackbits(np.frombuffer(some, dtype=np.uint8), count=len(own)).astype(bool)] = np.frombuffer(w, dtype=np.float32)
+        if held:
+            yield closed(*held)
 
-    for batch in batches:
-        for _, _, kind, ids, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if kind == 0:
-                if held:
-                    yield out()
-                held = [np.frombuffer(ids, dtype=np.int64), np.frombuffer(c, dtype=bool), np.frombuffer(b, dtype=np.int64), np.frombuffer(a, dtype=float).copy()]
-            else:
-                held[3] += np.frombuffer(a, dtype=float)
-    if held:
-        yield out()
+    return run
 
 
 def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -771,14 +928,11 @@ def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: s
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
     model, counts, pairs = learn_all(rows, parts)
     held = spark.sparkContext.broadcast(model)
-    # written once: the blocks' numbers hold for their own and their words' rows alike
-    blocks = save(rows.mapInArrow(_score(held, parts), _BLOCK))
-    empty = F.lit(b"")
-    tables = counts.select("p", F.lit(0).cast("long").alias("block"), F.lit(0).alias("kind"), empty.alias("ids"), F.col("h").alias("a"), F.col("n").alias("b"), empty.alias("c"))
+    tables = counts.select("p", F.lit(0).cast("long").alias("block"), F.lit(TABLE).alias("kind"), F.col("h").alias("a"), F.col("n").alias("b"))
     if pairs is not None:
-        tables = tables.union(pairs.select(F.col("p") + F.lit(parts), F.lit(0).cast("long"), F.lit(0), empty, F.col("k"), F.col("w"), empty))
-    asked = tables.union(blocks.where("kind = 1")).repartition(parts, "p").sortWithinPartitions("p", "kind")
-    found = asked.mapInArrow(_look_up(parts), _BLOCK)
-    both = blocks.where("kind = 0").union(found).repartition("block").sortWithinPartitions("block", "kind")
-    out = both.mapInArrow(_total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        tables = tables.union(pairs.select(F.col("p") + F.lit(parts), F.lit(0).cast("long"), F.lit(TABLE), F.col("k"), F.col("w")))
+    # one pass: a block's own row takes the same way as what it asks for, so that nothing is stored in between
+    asked = tables.union(rows.mapInArrow(_score(held, parts), _BLOCK)).repartition(parts, "p").sortWithinPartitions("p", "kind")
+    both = asked.mapInArrow(_look_up(parts), _BLOCK).repartition("block").sortWithinPartitions("block", "kind")
+    out = both.mapInArrow(_total(parts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))

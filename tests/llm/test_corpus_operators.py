@@ -475,3 +475,58 @@ def test_language_model_weighs_all_pairs_wherever_they_are_held(spark, monkeypat
     for other in scores[1:]:
         assert set(other) == set(scores[0])
         assert all(other[k] == pytest.approx(v, rel=1e-6) for k, v in scores[0].items())
+
+
+def test_numbers_that_ascend_take_few_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 8, 9, 5000):
+        for top in (1, 300, 1 << 33, (1 << 64) - 1):
+            x = np.sort(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            packed = maxent.pack_ascending(x)
+            assert np.array_equal(maxent.unpack_ascending(packed), x)
+            assert len(packed) * 8 <= 24 * 8 + n * (3 + math.log2(max(1, top / max(1, n)))) + 16
+        for counts in (rng.integers(0, 600, n), np.ones(n, dtype=np.int64)):
+            assert np.array_equal(maxent.unpack_counts(maxent.pack_counts(counts)), counts)
+        for width in (0, 1, 7, 8, 13, 16):
+            x = rng.integers(0, 1 << width, n).astype(np.int64)
+            assert np.array_equal(maxent.unpack_bits(np.frombuffer(maxent.pack_bits(x, width), np.uint8), n, width), x)
+    words, parts = 60, 7
+    k = np.unique(((rng.integers(0, 8, 500) * parts + 3) << 32) | np.where(rng.random(500) < 0.3, maxent.GROUP + rng.integers(0, maxent.CLASSES, 500), rng.integers(0, words, 500)))
+    packed = maxent.dense(k, words, parts)
+    assert (np.diff(packed.astype(np.int64)) > 0).all() and int(packed.max()) < 9 * (words + maxent.CLASSES)
+    assert np.array_equal(maxent.spread(packed, words, parts, 3), k)
+
+
+def test_language_model_moves_less_than_its_texts(spark, monkeypatch):
+    """What is shuffled stays below twice the texts, however many partitions answer; nor do the answers depend on who asks together."""
+    rng = random.Random(23)
+    pool = ["w" + "".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(120_000)]
+    often = pool[:400]
+    texts = [" ".join(rng.choice(often) if rng.random() < 0.7 else rng.choice(pool) for _ in range(rng.randint(0, 400))) for _ in range(3000)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2).cache()
+    train = F.col("doc_id") % 7 != 2
+    monkeypatch.setattr(maxent, "PAIRS", 1000)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+
+    def moved():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    docs.count()
+    scores = []
+    for parts, asked, together in ((4, 1 << 20, 1 << 16), (64, 1 << 20, 1 << 16), (4, 5000, 100)):
+        monkeypatch.setattr(maxent, "ASKED", asked, raising=False)
+        monkeypatch.setattr(maxent, "TOGETHER", together, raising=False)
+        old = moved()
+        scores.append({r.doc_id: r for r in maxent.score_texts(docs, train, parts=parts).collect()})
+        if asked > 5000:
+            new = sum(n for k, n in moved().items() if k not in old)
+            assert new < 2 * sum(len(t or "") for t in texts)
+    docs.unpersist()
+    for other in scores[1:]:
+        assert set(other) == set(scores[0]) and len(other) == len(texts)
+        for k, r in scores[0].items():
+            assert (other[k].n_tokens, other[k].n_known) == (r.n_tokens, r.n_known)
+            assert other[k].base_score == pytest.approx(r.base_score, rel=1e-9) and other[k].score == pytest.approx(r.score, rel=1e-6)
